@@ -179,3 +179,48 @@ def first_run(table: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 __all__ = ["BLOCK", "asof", "bridge", "central_difference", "clipped_pair", "fill_forward", "first_run", "gradient",
            "longest_run", "mark_runs", "median_step", "next_value", "runs", "sliding_max", "steps"]
+
+
+def smooth(df: DataFrame, values: Mapping[str, Column], behind: str, ahead: str, axis: Axis = FRAMES, *, sigma: str | None = None,
+           last: str = "last_row") -> DataFrame:
+    """Weighted mean over ``behind`` rows before to ``ahead`` rows after each row, the end rows repeated outside.
+
+    The widths (and the Gaussian ``sigma`` in rows, else uniform weights) are columns, so they may differ per
+    group; ``last`` holds the group's last row number. Every row offers its weighted value to the rows it
+    reaches and the offers are summed per target: one shuffle, no per-group gathering."""
+    r = F.col(axis.order)
+    b, a, end = F.col(behind), F.col(ahead), F.col(last)
+
+    def weight(j: Column) -> Column:
+        return F.exp(-0.5 * F.pow(j / F.col(sigma), F.lit(2.0))) if sigma else F.lit(1.0)
+
+    def total(low: Column, high: Column) -> Column:
+        if sigma is None:
+            return F.greatest(high - low + 1, F.lit(0)).cast("double")
+        return F.aggregate(F.sequence(low, high), F.lit(0.0), lambda acc, j: acc + weight(j))
+
+    def offered(t: Column) -> Column:
+        j = r - t
+        w = F.when((r == 0) & (r == end), total(-b, a)).when(r == 0, total(-b, j)).when(r == end, total(j, a)).otherwise(weight(j))
+        return F.struct(t.alias("t"), w.alias("w"))
+
+    targets = F.sequence(F.greatest(r - a, F.lit(0)), F.least(r + b, end))
+    offers = df.select(*axis.keys, F.explode(F.transform(targets, offered)).alias("o"), *[e.alias(f"__v_{n}") for n, e in values.items()])
+    sums = offers.groupBy(*axis.keys, F.col("o.t").alias(axis.order)).agg(
+        *[(F.sum(F.col("o.w") * F.col(f"__v_{n}")) / F.sum("o.w")).alias(n) for n in values])
+    return df.drop(*values).join(sums, [*axis.keys, axis.order])
+
+
+def lookahead(df: DataFrame, path: str, length: float, values: Sequence[str], axis: Axis, span: float) -> DataFrame:
+    """Each row with the values of the first row whose path length is at least ``length`` further on (null past the end)."""
+    along = axis.by(path, span)
+    probes = df.withColumn("__s", F.col(path)).withColumn(path, F.col(path) + F.lit(float(length)))
+    out = asof(probes, df.select(*axis.keys, path, *values), path, values, along, forward=True, prefix="ahead_")
+    return out.withColumn(path, F.col("__s")).drop("__s")
+
+
+def evenly_spaced(df: DataFrame, keys: Sequence[str], row: str, picks: int, *, size: str = "n") -> DataFrame:
+    """Rows at ``floor(i * n / picks)`` for i below ``picks`` of every group with ``n`` rows."""
+    k = F.least(F.lit(picks), F.col(size))
+    i = F.ceil(F.col(row) * k / F.col(size))
+    return df.where((F.floor(i * F.col(size) / k) == F.col(row)) & (i < k))

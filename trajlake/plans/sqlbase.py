@@ -43,9 +43,8 @@ poses0 AS (
          CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 poses AS (
   SELECT episode, row, vec_id, e[5] AS ax, e[6] AS ay, e[7] AS az, {_unit("a", 1)},
-         e[12] AS bx, e[13] AS by_, e[14] AS bz, {_unit("b", 8)}, e[15:36] AS q, e[37:58] AS qd,
-         abs(e[59]) AS open_l, abs(e[60]) AS open_r FROM poses0)""".replace("by_", "by")
-POSES = POSES.replace(" AS by,", ' AS "by",')
+         e[12] AS bx, e[13] AS "by", e[14] AS bz, {_unit("b", 8)}, {_unit("h", 26)}, e[15:36] AS q, e[37:58] AS qd,
+         abs(e[59]) AS open_l, abs(e[60]) AS open_r FROM poses0)"""
 
 RECORDS = """
 records0 AS (

@@ -85,12 +85,13 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = s.put(f"{name}raw", [F.col("e")[first + i] for i in range(4)])
         return s.put(name, rotation.canonical(rotation.normalize(raw)))
 
-    a, b = unit("a", 0), unit("b", 7)
+    a, b, h = unit("a", 0), unit("b", 7), unit("h", 25)
     return s.df.select("episode", "row", "vec_id",
                        *[F.col("e")[4 + i].alias(f"a{n}") for i, n in enumerate("xyz")],
                        *[c.alias(f"a{n}") for n, c in zip(("qw", "qx", "qy", "qz"), a)],
                        *[F.col("e")[11 + i].alias(f"b{n}") for i, n in enumerate("xyz")],
                        *[c.alias(f"b{n}") for n, c in zip(("qw", "qx", "qy", "qz"), b)],
+                       *[c.alias(f"h{n}") for n, c in zip(("qw", "qx", "qy", "qz"), h)],
                        F.slice("e", 15, 22).alias("q"), F.slice("e", 37, 22).alias("qd"),
                        F.abs(F.col("e")[58]).alias("open_l"), F.abs(F.col("e")[59]).alias("open_r"))
 
