@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import planar
-from .blocks import BLOCK, FRAMES, Axis, attach, neighbourhood, own_rows, quantile, running, shift
+from .blocks import BLOCK, FRAMES, Axis, attach, neighbourhood, number_rows, own_rows, quantile, running, shift
 
 
 def steps(df: DataFrame, values: Mapping[str, Column], axis: Axis = FRAMES, *, wrapped: Sequence[str] = ()) -> DataFrame:
@@ -224,3 +224,12 @@ def evenly_spaced(df: DataFrame, keys: Sequence[str], row: str, picks: int, *, s
     k = F.least(F.lit(picks), F.col(size))
     i = F.ceil(F.col(row) * k / F.col(size))
     return df.where((F.floor(i * F.col(size) / k) == F.col(row)) & (i < k))
+
+
+def rank_ids(table: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Position of each distinct value in its group's sorted order, from 0.
+
+    Values are spread over slots by their leading characters, so a group with very many values is not one task."""
+    ids = table.select(*keys, value).distinct()
+    slot = F.rpad(F.substring(F.col(value).cast("string"), 1, 2), 2, " ")
+    return number_rows(ids, keys, [value], slot, name=name)
