@@ -29,3 +29,13 @@ def failing(gates: Sequence[tuple[str, Column, Column]]) -> Column:
     """Reasons ``name: detail`` of the gates that do not hold, in gate order."""
     made = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail")) for n, ok, detail in gates])
     return F.transform(F.filter(made, lambda g: ~g["ok"]), lambda g: F.concat(g["name"], F.lit(": "), g["detail"]))
+
+
+def depth_rule(depth: Column, reference: Column, *, absolute: float, margin: float) -> list[Column]:
+    """Penetration gate relative to the source: threshold, verdicts and the rule in words."""
+    threshold = F.greatest(F.lit(absolute), reference + margin)
+    four = lambda c: F.format_string("%.4f", c)
+    rule = F.when(reference.isNull(), F.concat(F.lit("absolute threshold "), four(F.lit(absolute)), F.lit(" m (no source reference)"))).otherwise(
+        F.concat(F.lit("source-relative threshold "), four(threshold), F.lit(" m = max(absolute "), four(F.lit(absolute)),
+                 F.lit(" m, source reference "), four(reference), F.lit(" m + "), four(F.lit(margin)), F.lit(" m)")))
+    return [threshold.alias("threshold"), (depth <= threshold).alias("passed"), (depth <= absolute).alias("passed_absolute"), rule.alias("rule")]
