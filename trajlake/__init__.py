@@ -8,3 +8,10 @@ Layers (each imports only the ones above it):
 * ``plans``      - named queries over the landed tables, each with its SQL check
 * ``streaming``  - incremental versions of the record operators
 """
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Grouped-map functions travel to executors with their helpers, so workers need no installed copy.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
