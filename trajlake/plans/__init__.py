@@ -6,5 +6,5 @@ from .registry import QUERIES, Query
 
 def all_queries() -> dict[str, Query]:
     """Every registered query, by name."""
-    from . import catalogue, flagship, gating, generated, labelling, reports, resampling, scenes, sequences, views  # noqa: F401
+    from . import catalogue, flagship, gating, generated, labelling, reports, resampling, scenes, sequences, streams, views  # noqa: F401
     return QUERIES

@@ -320,13 +320,13 @@ def _(spark, d):
 a AS (SELECT episode, row, opening, yaw, -0.0803 + least(greatest(opening, 0), 1)*(2.27 + 0.0803) AS angle FROM frames),
 k AS (SELECT *, (angle + 0.0803)/((2.27 + 0.0803)/2000) AS pos FROM a), g AS (SELECT *, least(floor(pos), 1999) AS i, (2.27 + 0.0803)/2000 AS st FROM k),
 w AS (SELECT *, 2*(0.0254 - 0.05*sin(0.554 - 0.4689*(-0.0803 + i*st))) AS lo, 2*(0.0254 - 0.05*sin(0.554 - 0.4689*(-0.0803 + (i+1)*st))) AS hi FROM g)
-SELECT episode, row, round(angle, 6) + 0.0 AS angle, round(greatest(lo + (pos - i)*(hi - lo), 0), 6) + 0.0 AS width, round(opening*opening*opening*(10 - 15*opening + 6*opening*opening), 6) AS jerk,
+SELECT episode, row, round(angle, 9) + 0.0 AS angle, round(greatest(lo + (pos - i)*(hi - lo), 0), 6) + 0.0 AS width, round(opening*opening*opening*(10 - 15*opening + 6*opening*opening), 6) AS jerk,
   round(greatest(0.5, 1.875*greatest(opening/0.3, abs(yaw)/1.2)), 9) AS seconds, round(2*(0.03*sqrt(1 - pow(least(abs(cos(yaw)), 1), 2)) + 0.05*abs(cos(yaw))), 6) AS extent FROM w"""))
 def _(spark, d):
     f = L.frames(spark, d)
     angle = H.angle_of_opening(F.col("opening"))
     extent = G.cylinder_extent(F.cos("yaw"), F.lit(0.03), F.lit(0.05))
-    return f.select("episode", "row", r6(angle).alias("angle"), r6(H.width_of_angle(angle)).alias("width"), r6(H.min_jerk(F.col("opening"))).alias("jerk"),
+    return f.select("episode", "row", r6(angle, 9).alias("angle"), r6(H.width_of_angle(angle)).alias("width"), r6(H.min_jerk(F.col("opening"))).alias("jerk"),
                     r6(H.move_duration(F.col("opening"), F.abs("yaw"), 0.3, 1.2, 0.5), 9).alias("seconds"), r6(extent).alias("extent"))
 
 
