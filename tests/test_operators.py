@@ -188,3 +188,69 @@ def test_new_asset_bytes_are_counted_once(spark):
     df = spark.createDataFrame([(1, "x", 10), (1, "y", 5), (2, "x", 10), (2, "x", 10), (2, "z", 7)], "episode long, sha256 string, bytes long")
     got = {r.episode: (r.assets_referenced, r.referenced_bytes, r.new_bytes) for r in C.asset_statistics(df).collect()}
     assert got == {1: (2, 15, 15), 2: (2, 17, 7)}
+
+
+def test_first_exceeding_across_blocks(spark):
+    from trajlake.operators.paths import first_exceeding
+    rng = random.Random(4)
+    values = {e: [rng.random() * (1 + i / 300) for i in range(n)] for e, n in ((1, 600), (2, 9))}
+    df = spark.createDataFrame([(e, i, v) for e, vs in values.items() for i, v in enumerate(vs)], "episode long, row long, v double")
+    asks = [(e, a, vs[a] + rng.random()) for e, vs in values.items() for a in range(0, len(vs), 3)]
+    got = {(r.episode, r.at): r["first"] for r in first_exceeding(df, spark.createDataFrame(asks, "episode long, at long, need double"), AXIS, "v", small=4, large=32).collect()}
+    for e, a, need in asks:
+        assert got.get((e, a)) == next((i for i in range(a, len(values[e])) if values[e][i] > need), None)
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_rate_limit_over_blocks_is_the_sequential_clamp(spark, reverse):
+    from trajlake.operators.folds import limited
+    rng = random.Random(6)
+    rows = [(e, i, rng.uniform(-1, 1) * 5, rng.random()) for e, n in ((1, 50), (2, 1), (3, 17)) for i in range(n)]
+    got = {(r.episode, r.row): r.y for r in limited(spark.createDataFrame(rows, "episode long, row long, x double, s double"), Axis(("episode",), "row", 8), "x", "s", "y", reverse=reverse).collect()}
+    for e in (1, 2, 3):
+        path = sorted((r for r in rows if r[0] == e), key=lambda r: r[1], reverse=reverse)
+        y = None
+        for _, i, x, s in path:
+            y = x if y is None else min(max(x, y - s), y + s)
+            assert got[(e, i)] == pytest.approx(y)
+
+
+def test_stage_cuts_of_alternating_parts(spark):
+    from trajlake.operators.folds import Thresholds, stage_cuts
+    events = spark.createDataFrame([(1, "hand", 0, 20), (1, "hand", 40, 60), (1, "grip", 25, 30), (1, "grip", 70, 75)], "episode long, part string, start long, stop long")
+    activity = spark.range(100).select(F.lit(1).cast("long").alias("episode"), F.col("id").alias("row"), (F.col("id") * 0.1).alias("t"), F.lit(0.0).alias("activity"))
+    got = stage_cuts(events, activity, "t", AXIS, Thresholds()).orderBy("stage").collect()
+    assert [(r.start, r.stop) for r in got] == [(0, 40), (40, 99)]
+
+
+def test_a_reversal_splits_a_movement(spark):
+    from trajlake.operators.folds import Thresholds, split_turns
+    speed = [1.0] * 10 + [0.05] + [-1.0] * 10
+    rated = spark.createDataFrame([(1, i, i * 0.1, v, 2) for i, v in enumerate(speed)], "episode long, row long, t double, rate double, window long")
+    moves = spark.createDataFrame([(1, 0, 21, 0.0, 2.0)], "episode long, start long, stop long, t0 double, t1 double")
+    got = sorted((r.start, r.stop) for r in split_turns(moves, rated, ["rate"], "t", "window", AXIS, Thresholds()).collect())
+    assert got == [(0, 10), (10, 21)]
+
+
+def test_object_centric_segments_keep_the_object_still_in_the_hand(spark):
+    from trajlake.operators.paths import object_centric
+    rows = [(1, i, i * 0.1, 0.02 * i + (0.01 * i if 5 <= i < 12 else 0.0), 0.02 * i) for i in range(20)]
+    df = spark.createDataFrame(rows, "episode long, row long, t double, ax double, bx double")
+    zero = F.lit(0.0)
+    for s in "ab":
+        df = df.withColumns({f"{s}y": zero, f"{s}z": zero, f"{s}qw": F.lit(1.0), f"{s}qx": zero, f"{s}qy": zero, f"{s}qz": zero})
+    out = object_centric(df, "a", "b", F.col("row").between(5, 11), "t", AXIS, Axis(("episode",), "t", 64.0), settle=2, max_shift=0.005, max_turn=0.05, approach=0.25, retreat=0.15)
+    got = {r.row: (r.out_x, r.bx, r.ax, r.carried) for r in out.collect()}
+    assert {round(got[i][0] - got[i][1], 9) for i in range(5, 12)} == {0.07} and all(got[i][3] for i in range(5, 12))
+    assert all(got[i][0] == pytest.approx(got[i][2]) for i in (0, 1, 2, 14, 19))
+    assert got[4][0] == pytest.approx(got[4][2] + 0.6 * (got[5][0] - got[5][2]))
+
+
+def test_a_short_drop_extends_the_grasp(spark):
+    from trajlake.operators.paths import placed_drops
+    z = [0.5] * 6 + [0.49, 0.47, 0.46, 0.46, 0.46, 0.46]
+    rows = [(1, i, i * 0.1, i < 6, True, 0.0, 0.0, v, 0.0, v - 0.5, 0.0) for i, v in enumerate(z)]
+    df = spark.createDataFrame(rows, "episode long, row long, t double, held boolean, valid boolean, px double, py double, pz double, rx double, rz double, a double")
+    got = placed_drops(df, F.col("held"), "t", AXIS, place=["px", "py", "pz"], inside=["rx", "rz"], turn="a", span=1.0, longest=0.6, min_drop=0.003, max_drop=0.05,
+                       max_turn=0.35, rest_speed=0.02, rest_turn=0.05).collect()
+    assert [(r.stop, r.new_stop, round(r.drop, 3)) for r in got] == [(6, 9, 0.04)]

@@ -194,21 +194,6 @@ def follow_articulation(rows: DataFrame, moving: Column, distance: str, axis: Ax
 
 # ---------------------------------------------------------------- releases, gaze, derived tracks
 
-def release_rows(frames: DataFrame, held: Column, angle: str, rise: float, axis: Axis, *, at_command: bool = False) -> DataFrame:
-    """Per segment end: the row before the angle first exceeds its value there by ``rise`` (or the last held row).
-
-    A rise counts wherever it comes after the segment, so later rows are compared with a running maximum from
-    the end: the first exceeding row is found by an as-of step over rows that set a new level."""
-    out = shift(frames.withColumn("__held", held), axis, {"__before": (F.col("__held"), -1)})
-    ends = out.where(F.coalesce(F.col("__before"), F.lit(False)) & ~F.col("__held")).select(
-        *axis.keys, F.col(axis.order).alias("stop"), (F.col(angle) + rise).alias("__need"))
-    later = frames.select(*axis.keys, F.col(axis.order).alias("__r"), F.col(angle).alias("__q"))
-    ahead = ends.join(later, [*axis.keys]).where((F.col("__r") >= F.col("stop")) & (F.col("__q") > F.col("__need")))
-    first = ahead.groupBy(*axis.keys, "stop").agg(F.min("__r").alias("__first"))
-    row = F.col("stop") - 1 if at_command else F.col("__first") - 1
-    return first.select(*axis.keys, "stop", row.alias("release"))
-
-
 def gaze(frames: DataFrame, label: Column, axis: Axis) -> DataFrame:
     """The object to look at: the held one, else the one approached next; ``rule`` 0 held, 1 approached, 2 hands."""
     out = next_value(frames.withColumn("__held", label), "__next", F.col("__held"), axis)

@@ -129,16 +129,18 @@ def next_value(df: DataFrame, name: str, value: Column, axis: Axis = FRAMES) ->
 
 
 def asof(probes: DataFrame, source: DataFrame, time: str, values: Sequence[str], axis: Axis, *,
-         forward: bool = False, prefix: str = "") -> DataFrame:
-    """Each probe with the values of the last source row at or before its time (first at or after: ``forward``).
+         forward: bool = False, strict: bool = False, prefix: str = "") -> DataFrame:
+    """Each probe with the values of the last source row at or before its time (first at or after: ``forward``);
+    ``strict`` leaves out a source row at the probe's own time.
 
     Probes and source are merged on one clock and the values carried along it; no range join."""
     tagged = F.struct(*values)
     keys = list(axis.keys)
-    a = source.select(*keys, F.col(time), F.lit(0 if not forward else 1).alias("__side"), tagged.alias("__src"))
+    side = int(forward != strict)
+    a = source.select(*keys, F.col(time), F.lit(side).alias("__side"), tagged.alias("__src"))
     extra = [c for c in probes.columns if c not in (*keys, time)]
     kind = a.schema["__src"].dataType.simpleString()
-    b = probes.select(*keys, F.col(time), F.lit(1 if not forward else 0).alias("__side"),
+    b = probes.select(*keys, F.col(time), F.lit(1 - side).alias("__side"),
                       F.lit(None).cast(kind).alias("__src"), F.struct(F.lit(1).alias("__p"), *extra).alias("__probe"))
     a = a.withColumn("__probe", F.lit(None).cast(b.schema["__probe"].dataType.simpleString()))
     merged = a.unionByName(b)
