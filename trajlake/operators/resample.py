@@ -1,8 +1,7 @@
 """Time scaling and resampling: slow a demonstration down to the robot's limits, then put it on a uniform clock.
 
-The output clock is a table of (episode, k) rows that point at a source interval (``left_row``) and a
-``fraction`` inside it; values, poses, validity and labels are resampled by joining that clock to the
-intervals on (episode, left_row), so a long episode spreads over many tasks.
+Every source interval carries the values at both of its ends and yields the output rows that fall into it, with
+their ``fraction`` of the way; values, poses, validity and labels are then expressions on one row.
 """
 from __future__ import annotations
 
@@ -51,26 +50,30 @@ def dilate(iv: DataFrame, half: str, dwell_rows: DataFrame, dwell: float, axis:
 def warp(iv: DataFrame, axis: Axis) -> DataFrame:
     """Interval start and end on the slowed clock."""
     out = running(iv, axis, {"warp1": ("sum", F.col("dt") * F.col("dilation"))})
-    return out.withColumn("warp0", F.col("warp1") - F.col("dt") * F.col("dilation"))
+    out = shift(out, axis, {"__before": (F.col("warp1"), -1), "__after": (F.lit(1), 1)})
+    return out.withColumns({"warp0": F.coalesce("__before", F.lit(0.0)), "ends": F.col("__after").isNull()}).drop("__before", "__after")
 
 
-def clock(warped: DataFrame, time: str, step: float, axis: Axis, span: float) -> DataFrame:
-    """Uniform output rows: ``k``, output time, the source interval and fraction, and the source time."""
-    ends = warped.groupBy(*axis.keys).agg(F.max("warp1").alias("warp_end"))
-    count = F.ceil(F.col("warp_end") / step - 1e-9)
-    ticks = ends.select(*axis.keys, "warp_end", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("k"))
-    probes = ticks.select(*axis.keys, "k", F.least(F.col("k") * F.lit(step), F.col("warp_end")).alias("warp0"))
-    values = [axis.order, "warp1", time, f"next_{time}"]
-    source = warped.withColumn("__at", F.col("warp0"))
-    hit = asof(probes, source.select(*axis.keys, "warp0", "__at", *values), "warp0", ["__at", *values], axis.by("warp0", span))
-    fraction = F.greatest(F.least((F.col("warp0") - F.col("__at")) / (F.col("warp1") - F.col("__at")), F.lit(1.0)), F.lit(0.0))
-    return hit.select(*axis.keys, "k", (F.col("k") * F.lit(step)).alias("time"), F.col(axis.order).alias("left_row"), fraction.alias("fraction"),
-                      (F.col(time) + fraction * (F.col(f"next_{time}") - F.col(time))).alias("source_time"))
+def clock(warped: DataFrame, time: str, step: float) -> DataFrame:
+    """Rows of the uniform output clock: every source interval yields the ticks that fall into it, the last one also
+    the tick that holds the end. Adds ``k``, ``time``, ``fraction`` and ``source_time`` to the interval's columns.
 
+    No join is needed, and the ticks of a long episode are made by as many tasks as its intervals."""
+    first = F.ceil(F.col("warp0") / step)
+    last = F.when(F.col("ends"), F.ceil(F.col("warp1") / step - 1e-9)).otherwise(F.ceil(F.col("warp1") / step) - 1)
+    out = warped.where(last >= first).withColumn("k", F.explode(F.sequence(first, last)))
+    at = F.least(F.col("k") * F.lit(step), F.col("warp1"))
+    u = F.greatest(F.least((at - F.col("warp0")) / (F.col("warp1") - F.col("warp0")), F.lit(1.0)), F.lit(0.0))
+    out = out.withColumn("fraction", u)
+    return out.withColumns({"time": F.col("k") * F.lit(step), "source_time": F.col(time) + F.col("fraction") * (F.col(f"next_{time}") - F.col(time))})
 
-def on_clock(ticks: DataFrame, iv: DataFrame, axis: Axis) -> DataFrame:
-    """Output rows with both ends of their source interval."""
-    return ticks.join(iv.withColumnRenamed(axis.order, "left_row"), [*axis.keys, "left_row"])
+
+def uniform_ticks(groups: DataFrame, keys: Sequence[str], first: Column, last: Column, chunk: int = 4096) -> DataFrame:
+    """Tick numbers ``first``..``last`` of every group, made chunk by chunk on all tasks."""
+    named = groups.withColumns({"__first": first.cast("long"), "__last": last.cast("long")}).where(F.col("__last") >= F.col("__first"))
+    chunks = named.withColumn("__chunk", F.explode(F.sequence(F.col("__first"), F.col("__last"), F.lit(chunk).cast("long")))).repartition(*keys, "__chunk")
+    end = F.least(F.col("__chunk") + (chunk - 1), F.col("__last"))
+    return chunks.withColumn("k", F.explode(F.sequence(F.col("__chunk"), end))).drop("__first", "__last", "__chunk")
 
 
 def linear(a: Column, b: Column, fraction: Column) -> Column:
@@ -105,7 +108,7 @@ def servo_reference(frames: DataFrame, time: str, joints: Mapping[str, float], f
     n = F.round((F.col("__t1") - F.col("__t0")) / step).cast("long")
     leads = F.array(*[F.struct(F.lit(name).alias("joint"), F.lit(float(lead)).alias("lead")) for name, lead in joints.items()]
                     + [F.struct(F.lit(f"{name}@now").alias("joint"), F.lit(0.0).alias("lead")) for name in fingers])
-    ticks = ends.where(n >= 1).select(*axis.keys, "__t0", "__t1", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("k"))
+    ticks = uniform_ticks(ends, axis.keys, F.lit(1), n)
     probes = ticks.select(*axis.keys, "k", "__t0", "__t1", F.explode(leads).alias("j"))
     at = F.least(F.greatest(F.col("__t0") + F.col("k") * step + F.col("j.lead"), F.col("__t0")), F.col("__t1"))
     probes = probes.select(*axis.keys, "k", F.col("j.joint").alias("joint"), at.alias(time))
@@ -122,5 +125,5 @@ def servo_reference(frames: DataFrame, time: str, joints: Mapping[str, float], f
     return wide.select(*axis.keys, "k", *[F.least(F.col(j), F.col(f"`{j}@now`")).alias(j) if j in fingers else F.col(j) for j in joints])
 
 
-__all__ = ["agreed_label", "attach", "both_valid", "clock", "dilate", "geodesic", "grasp_dwell", "intervals", "linear", "on_clock",
-           "required_slowdown", "servo_reference", "warp"]
+__all__ = ["agreed_label", "attach", "both_valid", "clock", "dilate", "geodesic", "grasp_dwell", "intervals", "linear",
+           "required_slowdown", "servo_reference", "uniform_ticks", "warp"]

@@ -24,8 +24,7 @@ v AS (SELECT episode, count(*) AS rows, count(*) FILTER (WHERE held) AS held_row
 c AS (SELECT episode, count(*) AS segments FROM lr GROUP BY episode)
 SELECT v.episode, v.rows, v.held_rows, coalesce(c.segments, 0) AS segments, round(worst, 4) AS worst_speed, worst <= 0.9 AND held_rows > 0 AS passed FROM v LEFT JOIN c USING (episode)"""))
 def _(spark, d):
-    ticks, iv = resampled(spark, d)
-    o, u = Z.on_clock(ticks, iv.drop("t", "next_t"), L.FRAMES), F.col("fraction")
+    o, u = resampled(spark, d), F.col("fraction")
     mid = lambda c: Z.linear(F.col(c), F.col(f"next_{c}"), u)
     o = o.select("episode", "k", mid("x").alias("x"), mid("y").alias("y"), mid("yaw").alias("yaw"), Z.both_valid(F.col("closed"), F.col("next_closed"), u).alias("held"))
     o = shift(o, L.FRAMES.by("k"), {f"n{c}": (F.col(c), 1) for c in ("x", "y", "yaw")})

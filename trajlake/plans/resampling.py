@@ -64,9 +64,9 @@ def _(spark, d):
 
 
 def resampled(spark, d, step: float = STEP_DAYS):
-    """(clock, intervals): the intervals are read twice, so they are cut once."""
-    iv = cut(Z.warp(dilated(spark, d), L.FRAMES))
-    return Z.clock(iv, "t", step, L.FRAMES, span=256.0), iv
+    """Output rows with both ends of their source interval. The slowed intervals are read by the running sum and by
+    its carry, so they are written once before it."""
+    return Z.clock(Z.warp(cut(dilated(spark, d)), L.FRAMES), "t", step)
 
 
 TICKS = DILATED + f""",
@@ -79,16 +79,15 @@ clk AS (SELECT *, greatest(least((w - warp0)/(warp1 - warp0), 1), 0) AS u FROM h
 @query("rs03_output_clock", "RS3", "JN11", "WN14", "WN15", sql=with_(FRAMES, TICKS + f"""
 SELECT episode, k, round(k * {STEP_DAYS}::DOUBLE, 6) AS time, row AS left_row, round(u, 5) AS fraction, round(t + u*dt, 5) AS source_time FROM clk"""))
 def _(spark, d):
-    ticks, _ = resampled(spark, d)
-    return ticks.select("episode", "k", r6("time").alias("time"), "left_row", r6("fraction", 5).alias("fraction"), r6("source_time", 5).alias("source_time"))
+    o = resampled(spark, d)
+    return o.select("episode", "k", r6("time").alias("time"), F.col("row").alias("left_row"), r6("fraction", 5).alias("fraction"), r6("source_time", 5).alias("source_time"))
 
 
 @query("rs04_rs07_resampled_frames", "RS4", "RS6", "RS7", sql=with_(FRAMES, TICKS + """
 SELECT episode, k, round(opening + u*(nopening - opening), 5) AS opening, (closed OR u >= 1) AND (nclosed OR u <= 0) AS valid,
        CASE WHEN u <= 0 THEN label WHEN u >= 1 THEN nlabel WHEN label = nlabel THEN label END AS label FROM clk"""))
 def _(spark, d):
-    ticks, iv = resampled(spark, d)
-    o, u = Z.on_clock(ticks, iv.drop("t", "next_t"), L.FRAMES), F.col("fraction")
+    o, u = resampled(spark, d), F.col("fraction")
     return o.select("episode", "k", r6(Z.linear(F.col("opening"), F.col("next_opening"), u), 5).alias("opening"),
                     Z.both_valid(F.col("closed"), F.col("next_closed"), u).alias("valid"), Z.agreed_label(F.col("label"), F.col("next_label"), u).alias("label"))
 

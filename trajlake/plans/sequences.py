@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import planar
 from ..operators import sequence as S
 from ..operators.blocks import attach, interval_join, quantile, running, shift
+from ..operators.resample import uniform_ticks
 from ..sources import landing as L
 from .registry import long, query, r6
 from .sqlbase import FRAMES, with_
@@ -301,7 +302,7 @@ grid AS (SELECT episode, k * 0.5::DOUBLE AS t FROM (SELECT episode, unnest(range
 def _grid(f):
     """A uniform clock of half a day over every episode."""
     ends = f.groupBy("episode").agg(F.max("t").alias("t_end"))
-    ticks = ends.select("episode", F.explode(F.sequence(F.lit(0), F.floor(F.col("t_end") / 0.5))).alias("k"))
+    ticks = uniform_ticks(ends, ["episode"], F.lit(0), F.floor(F.col("t_end") / 0.5))
     return ticks.select("episode", (F.col("k") * 0.5).alias("t"))
 
 
