@@ -184,3 +184,23 @@ def running_jobs(events: DataFrame) -> DataFrame:
     return last.where(F.col("event") == "launched").select("id", "t")
 
 
+
+
+def package_of(files: DataFrame, packages: DataFrame, members: DataFrame) -> DataFrame:
+    """Package of every file: the one that lists its digest, else the one of its folder (the first id in both cases).
+
+    ``packages``: id, folder; ``members``: id, sha256; ``files``: path, sha256."""
+    by_digest = members.groupBy("sha256").agg(F.min("id").alias("__digest"))
+    by_folder = packages.groupBy("folder").agg(F.min("id").alias("__folder"))
+    out = files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).join(by_digest, "sha256", "left").join(by_folder, "folder", "left")
+    return out.select("path", F.coalesce("__digest", "__folder").alias("package"))
+
+
+def export_status(episodes: DataFrame, assets: DataFrame) -> DataFrame:
+    """Whether an episode's scene can be exported: physics recorded, source known, every asset found in the scene itself.
+
+    ``episodes``: uid, has_physics, source; ``assets``: uid, found."""
+    inside = assets.groupBy("uid").agg(F.bool_and(F.col("found").startswith("assets:")).alias("__inside"))
+    status = (F.when(~F.col("has_physics"), "no_physics").when(F.col("source").isNull(), "no_source")
+              .when(~F.coalesce("__inside", F.lit(True)), "unresolved_assets").otherwise("candidate"))
+    return episodes.join(inside, "uid", "left").select("uid", status.alias("status"))

@@ -62,6 +62,14 @@ def residual_reasons(frames: DataFrame, side: str, keys: Sequence[str], row: str
     return g.select(*keys, F.explode(found).alias("f")).where("f.bad").select(*keys, "f.place", "f.reason")
 
 
+def angle_reasons(frames: DataFrame, name: str, angle: str, keys: Sequence[str], row: str, *, tol: float, place: int) -> DataFrame:
+    """Reason for an orientation (such as the head's) that leaves its tolerance."""
+    g = frames.groupBy(*keys).agg(F.count_if(F.col(angle) > tol).alias("n"), worst(F.col(angle), row).alias("w"))
+    text = F.concat(F.lit(f"{name} rotation residual "), sig3(F.col("w.value")), F.lit(" rad > "), sig3(F.lit(tol)), F.lit(" rad at frame "),
+                    F.col("w.row").cast("string"), F.lit(" ("), F.col("n").cast("string"), F.lit(" frames)"))
+    return g.where(F.col("n") > 0).select(*keys, F.lit(place).alias("place"), text.alias("reason"))
+
+
 def limit_reasons(frames: DataFrame, keys: Sequence[str], row: str, *, clearance: float) -> DataFrame:
     """Joint-limit, speed and self-clearance reasons from ``margin``, ``speed`` (ratio, joint) and ``clearance``."""
     g = frames.groupBy(*keys).agg(worst(-F.col("margin"), row).alias("m"), worst(F.col("speed.ratio"), row, F.col("speed.joint").alias("joint")).alias("s"),
@@ -169,5 +177,5 @@ def missing_poses(tracks: DataFrame, keys: Sequence[str], shown: int = 5) -> Dat
     return out.select(*keys, F.concat(joined, tail).alias("reason"))
 
 
-__all__ = ["drop_enclosing", "failing_frame", "footprint_clearance", "grasp_drift", "joint_margin", "limit_reasons", "missing_poses",
+__all__ = ["angle_reasons", "drop_enclosing", "failing_frame", "footprint_clearance", "grasp_drift", "joint_margin", "limit_reasons", "missing_poses",
            "polygon_distance", "residual_reasons", "running", "speed_ratio", "sphere_clearance", "unreachable", "verdicts", "worst"]

@@ -10,7 +10,7 @@ from ..operators.blocks import Axis, number_rows
 from ..operators.lineage import cut
 from ..sources import landing as L
 from .registry import long, query, r6
-from .sqlbase import CATALOG, LEDGER, with_
+from .sqlbase import CATALOG, LEDGER, RECORDS, with_
 
 TRANSFER = "CASE kind WHEN 'range_member' THEN coalesce(nullif(stored_size, 0), size, 0) + 512 WHEN 'range_package' THEN stored_size ELSE coalesce(size, 0) END"
 SCRATCH = "CASE kind WHEN 'range_package' THEN coalesce(nullif(inflated_size, 0), 4*stored_size) WHEN 'file_images_embedded' THEN 2*coalesce(size, 0) ELSE coalesce(size, 0) END"
@@ -107,7 +107,7 @@ def _(spark, d):
     return K.not_fetched(c, L.ledger(spark, d), members(c))
 
 
-@query("jn02_jn03_identified_files", "JN2", "JN3", "JN28", sql=with_(LEDGER, """
+@query("jn02_jn03_identified_files", "JN2", "JN3", sql=with_(LEDGER, """
 pin AS (SELECT sha256, min(id) AS by_content FROM catalog WHERE sha256 IS NOT NULL GROUP BY sha256),
 o AS (SELECT f.path, p.by_content, c.id AS place, c.id IS NOT NULL AND l.sha256_verified = f.sha256 AND (c.sha256 IS NULL OR c.sha256 = f.sha256) AS agreed FROM listing f LEFT JOIN pin p USING (sha256) LEFT JOIN ledger l ON l.local_path = f.path LEFT JOIN catalog c ON c.id = substr(f.path, 5))
 SELECT path, coalesce(by_content, CASE WHEN agreed THEN place END) AS entry, CASE WHEN by_content IS NOT NULL THEN 'content' WHEN agreed THEN 'place' END AS how FROM o"""))
@@ -336,7 +336,7 @@ def _(spark, d):
     return P.stratified(rec, "cell", "passed", "doc_id", 7, 12, 7).groupBy("cell", "passed").agg(F.count(F.lit(1)).alias("drawn"))
 
 
-@query("tk05_pl05_one_per_scene", "TK5", "PL5", "PJ25", sql="""
+@query("tk05_pl05_one_per_scene", "TK5", "PL5", sql="""
 WITH p AS (SELECT sha256(CAST(n_chars % 97 AS VARCHAR)) AS scene, source AS raw, doc_id AS file FROM documents), o AS (SELECT scene, arg_min(raw, file) AS raw, min(file) AS file FROM p GROUP BY scene)
 SELECT raw, count(*) AS scenes, array_to_string(list_sort(list(file)), ',') AS files FROM o GROUP BY raw""")
 def _(spark, d):
@@ -391,3 +391,22 @@ def _(spark, d):
     status = spark.range(1, 26).select(F.concat(F.lit("brand"), F.col("id").cast("string")).alias("family"), F.when(F.col("id") % 4 == 0, "excluded").otherwise("available").alias("status"))
     open_ = status.where(F.col("status") == "available").select("family")
     return L.catalog(spark, d).where(F.col("kind") != "range_member").join(open_, "family", "left_semi").select("id", "family")
+
+
+@query("jn28_file_packages", "JN28", sql=with_(LEDGER, MEMBERS + """,
+md AS (SELECT c.sha256, min(m.id) AS by_digest FROM members m JOIN catalog c ON c.id = m.member_id WHERE c.sha256 IS NOT NULL GROUP BY 1), fo AS (SELECT 'raw/' || regexp_replace(id, '/[^/]*$', '') AS folder, min(id) AS by_folder FROM catalog WHERE kind = 'range_package' GROUP BY 1)
+SELECT l.path, coalesce(by_digest, by_folder) AS package FROM listing l LEFT JOIN md USING (sha256) LEFT JOIN fo ON fo.folder = regexp_replace(l.path, '/[^/]*$', '')"""))
+def _(spark, d):
+    c = cut(L.catalog(spark, d).select("key", "id", "kind", "sha256"))
+    packages = c.where(F.col("kind") == "range_package").select("id", F.concat(F.lit("raw/"), F.regexp_replace("id", "/[^/]*$", "")).alias("folder"))
+    listed = members(c).join(c.select(F.col("id").alias("member_id"), "sha256"), "member_id").where(F.col("sha256").isNotNull()).select("id", "sha256")
+    return K.package_of(L.listing(spark, d).select("path", "sha256"), packages, listed)
+
+
+@query("pj25_export_status", "PJ25", sql=with_(RECORDS, """
+a AS (SELECT l_orderkey AS uid, bool_and(l_returnflag <> 'R') AS inside FROM lineitem GROUP BY 1)
+SELECT uid, CASE WHEN NOT p_known THEN 'no_physics' WHEN file IS NULL THEN 'no_source' WHEN NOT coalesce(inside, true) THEN 'unresolved_assets' ELSE 'candidate' END AS status FROM records LEFT JOIN a USING (uid)"""))
+def _(spark, d):
+    rec = L.records(spark, d).select("uid", F.col("P").isNotNull().alias("has_physics"), F.col("file").alias("source"))
+    found = F.when(F.col("l_returnflag") == "R", "resolver").otherwise("assets:exact")
+    return K.export_status(rec, L.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("uid"), found.alias("found")))

@@ -175,3 +175,14 @@ def _(spark, d):
     from ..operators.physics import depth_rule
     o = L.objects(spark, d).select("episode", "object", (F.col("hx") / 10.0).alias("depth"), F.when(F.col("n") % 3 != 0, F.col("hy") / 10.0).alias("ref"))
     return o.select("episode", "object", *depth_rule(F.col("depth"), F.col("ref"), absolute=0.002, margin=0.001)).withColumn("threshold", r6("threshold"))
+
+
+@query("gt03_head_residual", "GT3", sql=with_(POSES, f"""
+hd AS (SELECT episode, row, {K.alias(K.mul(K.conj(K.q_of("h")), K.q_of("b")), K.q_of("r"))} FROM poses), an AS (SELECT episode, row, 2*atan2(sqrt(rqx*rqx + rqy*rqy + rqz*rqz), abs(rqw)) AS a FROM hd),
+g AS (SELECT episode, count(*) FILTER (WHERE a > 2.2) AS n, max(a) AS w, arg_max(row, (a, -row)) AS r FROM an GROUP BY episode)
+SELECT episode, 'head rotation residual ' || printf('%.3g', w) || ' rad > ' || printf('%.3g', 2.2::DOUBLE) || ' rad at frame ' || r || ' (' || n || ' frames)' AS reason FROM g WHERE n > 0"""))
+def _(spark, d):
+    s = Sheet(L.poses(spark, d))
+    turn = s.put("turn", R.multiply(R.conjugate(cols(*(f"h{c}" for c in K.Q))), cols(*(f"b{c}" for c in K.Q))))
+    f = s.select("episode", "row", R.angle(turn).alias("head"))
+    return A.angle_reasons(f, "head", "head", ["episode"], "row", tol=2.2, place=9).select("episode", "reason")

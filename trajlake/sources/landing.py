@@ -25,8 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(ts: str) -> Column:
-    """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+    """Microseconds since 1970 of a zone-less timestamp, from its own fields: the session zone plays no part."""
+    return F.expr(f"unix_date(cast({ts} as date)) * 86400000000L + hour({ts}) * 3600000000L + minute({ts}) * 60000000L "
+                  f"+ cast(extract(SECOND FROM {ts}) * 1000000 as bigint)")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
