@@ -143,6 +143,7 @@ def test_empty_fingers_hold_nothing(spark):
 
 def test_table_footprint(spark):
     square = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-0.2, -0.2), (0.2, -0.2), (0.2, 0.2), (-0.2, 0.2))])
+    square = A.polygon_edges(square)
     row = spark.range(1).select(A.polygon_distance(F.lit(1.0), F.lit(0.0), square).alias("out"), A.polygon_distance(F.lit(0.0), F.lit(0.05), square).alias("inside")).first()
     assert (row.out, row.inside) == (pytest.approx(0.8), pytest.approx(-0.15))
 

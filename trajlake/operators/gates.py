@@ -105,20 +105,22 @@ def verdicts(episodes: DataFrame, keys: Sequence[str], *reasons: DataFrame) -> D
     return episodes.select(*keys).distinct().join(counted, list(keys), "left").select(*keys, (n == 0).alias("passed"), n.cast("long").alias("reasons"))
 
 
-def polygon_distance(x: Column, y: Column, vertices: Column) -> Column:
-    """Signed distance from a point to a convex counter-clockwise polygon (``array<struct<x, y>>``), negative inside."""
+def polygon_edges(vertices: Column) -> Column:
+    """Edges (start point and vector) of a convex counter-clockwise polygon (``array<struct<x, y>>``)."""
     n = F.size(vertices)
-    edges = F.transform(vertices, lambda v, i: F.struct(
-        v["x"].alias("x"), v["y"].alias("y"), (F.element_at(vertices, F.pmod(i + 1, n) + 1)["x"] - v["x"]).alias("ex"),
-        (F.element_at(vertices, F.pmod(i + 1, n) + 1)["y"] - v["y"]).alias("ey")))
+    follower = lambda i: F.element_at(vertices, F.pmod(i + 1, n) + 1)
+    return F.transform(vertices, lambda v, i: F.struct(v["x"].alias("x"), v["y"].alias("y"), (follower(i)["x"] - v["x"]).alias("ex"), (follower(i)["y"] - v["y"]).alias("ey")))
 
+
+def polygon_distance(x: Column, y: Column, edges: Column) -> Column:
+    """Signed distance from a point to a convex polygon given by its edges, negative inside."""
     def apart(e: Column) -> Column:
         rx, ry = x - e["x"], y - e["y"]
         t = F.greatest(F.least((rx * e["ex"] + ry * e["ey"]) / F.greatest(e["ex"] * e["ex"] + e["ey"] * e["ey"], F.lit(1e-18)), F.lit(1.0)), F.lit(0.0))
         dx, dy = rx - t * e["ex"], ry - t * e["ey"]
-        return F.sqrt(dx * dx + dy * dy)
+        return dx * dx + dy * dy
 
-    d = F.array_min(F.transform(edges, apart))
+    d = F.sqrt(F.array_min(F.transform(edges, apart)))
     inside = F.forall(edges, lambda e: e["ex"] * (y - e["y"]) - e["ey"] * (x - e["x"]) >= -1e-15)
     return F.when(inside, -d).otherwise(d)
 
@@ -127,15 +129,16 @@ def footprint_clearance(frames: DataFrame, obstacles: DataFrame, keys: Sequence[
     """Distance of the base to its episode's nearest obstacle, less the body radius at the obstacle's height.
 
     ``obstacles``: keys, ``vertices``, ``radius`` (of the body band they overlap)."""
-    d = polygon_distance(F.col("x"), F.col("y"), F.col("vertices")) - F.col("radius")
-    return frames.join(obstacles, list(keys)).groupBy(*keys, row).agg(F.min(d).alias("clearance"))
+    shaped = obstacles.select(*keys, "radius", polygon_edges(F.col("vertices")).alias("edges"))
+    d = polygon_distance(F.col("x"), F.col("y"), F.col("edges")) - F.col("radius")
+    return frames.join(shaped, list(keys)).groupBy(*keys, row).agg(F.min(d).alias("clearance"))
 
 
 def drop_enclosing(envelopes: DataFrame, scene: DataFrame, keys: Sequence[str], top_tol: float = 0.02) -> DataFrame:
     """Envelopes without those that a scene polygon resolves: its centroid inside, its top at the same height."""
-    e, s = envelopes.alias("e"), scene.alias("s")
+    e, s = envelopes.withColumn("edges", polygon_edges(F.col("vertices"))).alias("e"), scene.alias("s")
     same = reduce(Column.__and__, [F.col(f"e.{k}") == F.col(f"s.{k}") for k in keys])
-    inside = polygon_distance(F.col("s.cx"), F.col("s.cy"), F.col("e.vertices")) <= 0
+    inside = polygon_distance(F.col("s.cx"), F.col("s.cy"), F.col("e.edges")) <= 0
     return e.join(s, same & inside & (F.abs(F.col("s.top") - F.col("e.top")) <= top_tol), "left_anti")
 
 
@@ -178,4 +181,4 @@ def missing_poses(tracks: DataFrame, keys: Sequence[str], shown: int = 5) -> Dat
 
 
 __all__ = ["angle_reasons", "drop_enclosing", "failing_frame", "footprint_clearance", "grasp_drift", "joint_margin", "limit_reasons", "missing_poses",
-           "polygon_distance", "residual_reasons", "running", "speed_ratio", "sphere_clearance", "unreachable", "verdicts", "worst"]
+           "polygon_distance", "polygon_edges", "residual_reasons", "running", "speed_ratio", "sphere_clearance", "unreachable", "verdicts", "worst"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import clip
 from .blocks import Axis, attach, interval_join, quantile, running, shift
+from .lineage import cut
 from .sequence import fill_forward, gradient, mark_runs, next_value
 
 INF = float("inf")
@@ -69,7 +70,7 @@ def row_end(frames: DataFrame, time: str, axis: Axis) -> DataFrame:
 
 def drop_short(frames: DataFrame, label: str, time: str, least: float, axis: Axis) -> DataFrame:
     """Clear labels in runs (of any label) shorter than ``least``; needs ``row_end``."""
-    out = mark_runs(frames, F.when(F.col(label).isNotNull(), F.lit(1)), axis, "__run")
+    out = cut(mark_runs(frames, F.when(F.col(label).isNotNull(), F.lit(1)), axis, "__run"))
     spans = out.where(F.col("__run").isNotNull()).groupBy(*axis.keys, "__run").agg(
         (F.max("row_end") - F.min(time)).alias("__span"))
     out = out.join(spans, [*axis.keys, "__run"], "left")
@@ -86,7 +87,7 @@ def bridge_labels(frames: DataFrame, label: str, time: str, gap: float, near: Co
     out = out.withColumn("__before", F.col("__prev.label"))
     inside = F.col(label).isNull() & (F.col("__prev.label") == F.col("__next.label")) \
         & (F.col("__next.t") - F.col("__prev.t") <= gap + 1e-9)
-    out = out.withColumn("__gap", F.when(inside, F.col("__prev.row")))
+    out = cut(out.withColumn("__gap", F.when(inside, F.col("__prev.row"))))
     sound = out.where(F.col("__gap").isNotNull()).groupBy(*axis.keys, "__gap").agg(F.bool_and(F.coalesce(near, F.lit(False))).alias("__ok"))
     out = out.join(sound, [*axis.keys, "__gap"], "left")
     filled = F.when(F.col("__ok"), F.col("__before"))
@@ -103,7 +104,7 @@ def grasp_labels(frames: DataFrame, time: str, axis: Axis, *, contact: float = 0
     empty = F.coalesce(F.col("width") < width_fraction * F.col("extent"), F.lit(False)) & ~F.coalesce("carried", F.lit(False))
     out = frames.withColumn("grasp", F.when(F.col("is_closed") & close & ~empty, F.col("nearest")))
     out = bridge_labels(out, "grasp", time, gap, close & (F.col("nearest") == F.col("__before")), axis)
-    return drop_short(out, "grasp", time, least, axis)
+    return drop_short(cut(out), "grasp", time, least, axis)
 
 
 def carried_rows(pairs: DataFrame, rows: Column, place: Mapping[str, Column], inside: Mapping[str, Column], axis: Axis, *,

@@ -20,8 +20,10 @@ SETTINGS = {
 
 def local_session(cores: int | str = 8, partitions: int = 8, app: str = "trajlake") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
+    # Local tables are small: keep their shuffles spread over the cores (a cluster keeps the defaults).
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.driver.memory", os.environ.get("TRAJLAKE_DRIVER_MEMORY", "8g"))
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
                .config("spark.sql.shuffle.partitions", str(partitions)))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
