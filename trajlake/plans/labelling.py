@@ -168,8 +168,8 @@ def _(spark, d):
     rx, ry, rz = _in_hand()
     o = cut(o.select("episode", "object", "row", "t", "valid", "opening", "px", "py", "pz", rx.alias("rx"), ry.alias("ry"), rz.alias("rz")))
     med = S.median_step(L.frames(spark, d).select("episode", "row", "t"), "t", L.FRAMES, span=0.25)
-    o = o.join(med, "episode").withColumns({"k": F.greatest(F.round(1.2 / F.col("median_dt") / 2.0), F.lit(1)).cast("long"),
-                                            "n_min": 1.4 / F.col("median_dt")}).drop("median_dt")
+    o = cut(o.join(med, "episode").withColumns({"k": F.greatest(F.round(1.2 / F.col("median_dt") / 2.0), F.lit(1)).cast("long"),
+                                                "n_min": 1.4 / F.col("median_dt")}).drop("median_dt"))
     axis = L.FRAMES.within("object")
     o = S.clipped_pair(o, F.col("k"), ["t", "valid", "px", "py", "pz", "rx", "ry", "rz"], axis)
     dt = F.col("hi_t") - F.col("lo_t")
@@ -178,7 +178,7 @@ def _(spark, d):
     slid = size([F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in ("rx", "ry", "rz")]) / dt
     ok = F.col("valid") & F.col("lo_valid") & F.col("hi_valid") & (moved > 0.003) & (slid < 0.1) \
         & (size([F.col("rx"), F.col("ry"), F.col("rz")]) < 0.4) & (F.col("opening") < 0.97)
-    found = S.runs(o, F.when(ok, F.lit(1)), axis, {"n_min": F.min("n_min")})
+    found = cut(S.runs(o.select("episode", "object", "row", "n_min", ok.alias("ok")), F.when(F.col("ok"), F.lit(1)), axis, {"n_min": F.min("n_min")}))
     joined = S.bridge(found, F.col("start") - F.col("prev_stop"), F.col("n_min"), axis, aggregates={"n_min": F.min("n_min")})
     return joined.where(F.col("stop") - F.col("start") >= F.col("n_min")).select("episode", "object", "start", "stop")
 
