@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .minhash_dedup import minhash_dedup
 from .packing import pack
 from .warc import deduplicated_archives
 
@@ -42,3 +43,8 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op3_minhash_dedup")
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"), size=2)
