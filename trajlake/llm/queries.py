@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .minhash_dedup import minhash_dedup
 from .packing import pack
+from .toxicity import toxicity
 from .warc import deduplicated_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash_dedup")
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), size=2)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
