@@ -201,7 +201,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, size: int, similar: int, needed:
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similar: int = SIMILAR, hashes: int = HASHES,
                   rows_per_band: int = ROWS, miss: float = MISS) -> DataFrame:
-    """One row per input row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per input row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``, ``text_key`` (xxhash64 of the text).
 
     Shingles are ``size`` words (A-Z in lower case, ASCII white space apart). Texts without a word, and null texts, have
     none and stay alone. Two texts are linked when 100 * intersection >= ``similar`` * union on their full sets; the smallest
@@ -230,7 +230,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = links.unionByName(_links(staged(rest, "pairs"), nodes, size, similar, needed))
     parts = components(links)
     placed = classes.join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", F.coalesce("component", "node").alias("part"))
-    members = staged(signed.select("row", "id", "n_shingles", "key").join(placed, "key", "left"), "members")
+    members = staged(signed.select("row", "id", "n_shingles", "key", F.xxhash64("text").alias("text_key")).join(placed, "key", "left"), "members")
     lowest = members.filter("part IS NOT NULL").groupBy("part").agg(F.min("id").alias("component_id"))
     out = members.join(lowest, "part", "left").withColumn("component_id", F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``minhash_dedup`` keeps, with all their columns: one id of every component, and all texts without a word."""
+    gone = minhash_dedup(docs, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__key"]), "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .line_dedup import line_report
 from .minhash_dedup import minhash_dedup
 from .packing import pack
 from .toxicity import toxicity
@@ -54,3 +55,8 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))

@@ -248,6 +248,33 @@ def _score(weights, bias: float):
     return score
 
 
+class Toxicity:
+    """A fitted classifier: feature numbers, weights and bias, all bounded by ``FEATURES``."""
+
+    def __init__(self, numbers: dict[str, int], weights, bias: float):
+        self.numbers, self.weights, self.bias = numbers, weights, bias
+
+
+def _votes(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, labelled: int) -> tuple[dict[str, int], DataFrame]:
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    gold = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter((fold("id", folds) != 0) & F.col("toxic").isNotNull())
+            .groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(labelled))
+    mined = mine(staged(rows.filter("NOT held_out").join(gold, "id").select("text", "toxic"), "labelled"))
+    numbers = {x[0]: i for i, x in enumerate(mined)}
+    return numbers, staged(rows.mapInArrow(_vote(numbers, voters(mined)), f"id {kind}, held_out boolean, votes long, features array<int>"), "votes")
+
+
+def _fit(numbers: dict[str, int], seen: DataFrame, training: int) -> Toxicity:
+    import numpy as np
+
+    open_ = seen.filter("NOT held_out")
+    model = label_model(open_.select("votes"))
+    sample = open_.orderBy(F.xxhash64("id"), "id").limit(training).select("features", "votes").collect()
+    posterior = model.posterior(np.array([r["votes"] for r in sample], dtype=np.int64)) if sample else []
+    return Toxicity(numbers, *fit_linear([(r["features"], float(p)) for r, p in zip(sample, posterior)], max(len(numbers), 1)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = FOLDS,
              labelled: int = LABELLED, training: int = TRAINING) -> DataFrame:
     """One row per input row: ``id_col``, ``held_out``, ``score``, ``predicted``.
@@ -260,17 +287,29 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     every score is that of the bias. Other columns are ignored; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    gold = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter((fold("id", folds) != 0) & F.col("toxic").isNotNull())
-            .groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(labelled))
-    mined = mine(staged(rows.filter("NOT held_out").join(gold, "id").select("text", "toxic"), "labelled"))
-    numbers = {x[0]: i for i, x in enumerate(mined)}
-    seen = staged(rows.mapInArrow(_vote(numbers, voters(mined)), f"id {kind}, held_out boolean, votes long, features array<int>"), "votes")
-    open_ = seen.filter("NOT held_out")
-    model = label_model(open_.select("votes"))
-    sample = open_.orderBy(F.xxhash64("id"), "id").limit(training).select("features", "votes").collect()
-    import numpy as np
+    numbers, seen = _votes(docs, labels, id_col, text_col, label_col, folds, labelled)
+    model = _fit(numbers, seen, training)
+    scored = seen.select("id", "held_out", "features").mapInArrow(_score(model.weights, model.bias), f"id {kind}, held_out boolean, score double, predicted int")
+    return scored.withColumnRenamed("id", id_col)
 
-    posterior = model.posterior(np.array([r["votes"] for r in sample], dtype=np.int64)) if sample else []
-    weights, bias = fit_linear([(r["features"], float(p)) for r, p in zip(sample, posterior)], max(len(mined), 1))
-    return seen.select("id", "held_out", "features").mapInArrow(_score(weights, float(bias)), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+def _pass_clean(model: Toxicity, text_at: int):
+    def clean(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cache: dict[str, tuple[str, ...]] = {}
+        for batch in batches:
+            keep = []
+            for text in batch.column(text_at).to_pylist():
+                z = model.bias + sum(model.weights[sorted(model.numbers[f] for f in features(text, cache) if f in model.numbers)])
+                keep.append(bool(1 / (1 + np.exp(-np.clip(z, -700, 700))) < 0.5))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+    return clean
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = FOLDS,
+                  labelled: int = LABELLED, training: int = TRAINING) -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` does not predict to be toxic, with all their columns; texts are scored where they are read, not shuffled."""
+    model = _fit(*_votes(docs, labels, id_col, text_col, label_col, folds, labelled), training)
+    return docs.mapInArrow(_pass_clean(model, docs.columns.index(text_col)), docs.schema)
