@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_report
 from .minhash_dedup import minhash_dedup
 from .packing import pack
+from .topk_search import topk_search
 from .toxicity import toxicity
 from .warc import deduplicated_archives
 
@@ -60,3 +61,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_topk_search", sql="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(table(spark, sf_dir, "embeddings"))
