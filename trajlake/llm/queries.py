@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .katz import katz_scores
 from .line_dedup import line_report
 from .minhash_dedup import minhash_dedup
 from .packing import pack
@@ -72,3 +73,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_katz_backoff")
+def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
