@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
@@ -11,6 +12,7 @@ from .katz import katz_scores
 from .line_dedup import line_report
 from .minhash_dedup import minhash_dedup
 from .packing import pack
+from .piece_sampling import sample_segmentations
 from .topk_search import topk_search
 from .toxicity import toxicity
 from .warc import deduplicated_archives
@@ -78,3 +80,9 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_katz_backoff")
 def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op9_piece_sampling")
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sample_segmentations(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "sample", "pieces", "log_prob", "perturbed", "inclusion", "round_trip", F.crc32("ids").alias("ids_crc32"))
