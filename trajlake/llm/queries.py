@@ -15,6 +15,7 @@ from .packing import pack
 from .piece_sampling import sample_segmentations
 from .topk_search import topk_search
 from .toxicity import toxicity
+from .training_order import training_order
 from .warc import deduplicated_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,9 @@ def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sample_segmentations(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "sample", "pieces", "log_prob", "perturbed", "inclusion", "round_trip", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_training_order")
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = training_order(table(spark, sf_dir, "documents"))
+    return out.select("slot", "shard", "doc_id", "sequence", "length", F.crc32("ids").alias("ids_crc32"))
