@@ -30,10 +30,20 @@ def test_failure_reasons_per_tier(spark):
     df = records(spark, [
         {"uid": "a", "K": (False, ["left TCP rotation residual 0.1 rad > 0.05 rad at frame 1 (2 frames)"]), "P": (False, ["grasp_drift: right: 0.01 m", "tcp_tracking: 0.1 m"])},
         {"uid": "b", "K": (False, ["right TCP rotation residual 0.2 rad > 0.05 rad at frame 3 (2 frames)"]), "P": (False, ["tcp_tracking: 0.2 m"])}])
-    got = {(r.tier, r.kind): (r["first"], r.anywhere) for r in R.failure_reasons(df).collect()}
+    got = {(r.tier, r.kind): (r["first"], r.anywhere) for r in R.reason_counts(df).collect()}
     assert got == {("K", "TCP rotation residual"): (2, 2), ("P", "grasp_drift"): (1, 1), ("P", "tcp_tracking"): (1, 2)}
 
 
+def test_failure_reasons_are_ranked_twice_and_counted_without_a_cap(spark):
+    many = [{"uid": f"u{i}", "K": (True, []), "P": (False, [f"kind_{chr(97 + i // 26)}{chr(97 + i % 26)}: 0.1 m"])} for i in range(60)]
+    rare = [{"uid": f"v{i}", "K": (True, []), "P": (False, ["common: 1 m", *(f"other_{chr(97 + j)}: 1 m" for j in range(26))])} for i in range(3)]
+    df = records(spark, many + rare)
+    assert R.reason_counts(df, failed_only=True).count() == 60 + 27
+    got = [tuple(r) for r in R.failure_reasons(df).collect()]
+    assert {(t, r) for t, r, *_ in got} == {("P", "first"), ("P", "anywhere")} and len(got) == 50
+    assert sum(k.startswith("kind_") for _, r, k, _ in got if r == "first") == 24 and sum(k.startswith("other_") for _, r, k, _ in got if r == "anywhere") == 24
+
+
 def test_storage_and_exclusion(spark):
     df = records(spark, [
         {"uid": "a", "dataset": "d", "status": "excluded", "excluded": "no_meshes", "reason": "scene lacks 12 files"},
@@ -216,12 +226,54 @@ def test_rate_limit_over_blocks_is_the_sequential_clamp(spark, reverse):
             assert got[(e, i)] == pytest.approx(y)
 
 
-def test_stage_cuts_of_alternating_parts(spark):
+def _stages(spark, events, rows=100, tail=0.35):
     from trajlake.operators.folds import Thresholds, stage_cuts
-    events = spark.createDataFrame([(1, "hand", 0, 20), (1, "hand", 40, 60), (1, "grip", 25, 30), (1, "grip", 70, 75)], "episode long, part string, start long, stop long")
-    activity = spark.range(100).select(F.lit(1).cast("long").alias("episode"), F.col("id").alias("row"), (F.col("id") * 0.1).alias("t"), F.lit(0.0).alias("activity"))
-    got = stage_cuts(events, activity, "t", AXIS, Thresholds()).orderBy("stage").collect()
-    assert [(r.start, r.stop) for r in got] == [(0, 40), (40, 99)]
+    events = spark.createDataFrame([(1, *e) for e in events], "episode long, part string, start long, stop long")
+    activity = spark.range(rows).select(F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("episode"), F.col("id").alias("row"), (F.col("id") * 0.1).alias("t"), F.lit(0.0).alias("activity"))
+    got = stage_cuts(events, activity, "t", AXIS, Thresholds(tail=tail)).orderBy("episode", "stage").collect()
+    return [[r.stop for r in got if r.episode == e] for e in (1, 2)]
+
+
+def test_a_settling_part_is_judged_at_its_last_row_and_quiet_episodes_are_one_stage(spark):
+    assert _stages(spark, [("hand", 0, 20), ("hand", 40, 60), ("grip", 15, 44), ("grip", 50, 55)]) == [[40, 99], [99]]
+    assert _stages(spark, [("hand", 0, 20), ("hand", 40, 60), ("grip", 15, 46), ("grip", 50, 55)]) == [[40, 50, 99], [99]]
+    assert _stages(spark, [("hand", 10, 100), ("grip", 20, 30)]) == [[99], [99]]
+
+
+def test_scenario_keys_do_not_collide(spark):
+    from trajlake.operators.scenarios import scenarios
+    got = scenarios(spark.createDataFrame([(400_000,), (4_000_000,), (4_000_004,), (8,)], "i long"), "i", "ns", "train", 4).collect()
+    assert sorted(r.key for r in got) == ["g000002", "g100000", "g1000000", "g1000001"]
+
+
+def test_late_keys_and_frames_are_kept(spark, tmp_path):
+    from trajlake.operators import sequence as S
+    from trajlake.operators.blocks import number_rows
+    from trajlake.streaming import incremental as I
+    publish = I.publish_once(f"{tmp_path}/published", "path")
+    for epoch, keys in enumerate((["p1", "p2", "p1"], ["p3", "p2", "p4"], ["p4", "p0"])):
+        publish(spark.createDataFrame([(k,) for k in keys], "path string"), epoch)
+    assert sorted(r.path for r in spark.read.parquet(f"{tmp_path}/published").collect()) == ["p0", "p1", "p2", "p3", "p4"]
+
+    def find(frames):
+        rows = number_rows(frames, ["episode"], ["us"], F.floor(F.col("us") / 100))
+        return S.runs(rows, F.col("label"), AXIS).select("episode", "label", "start", "stop")
+
+    keep = I.keep_runs(f"{tmp_path}/frames", f"{tmp_path}/runs", "episode", find)
+    for epoch, rows in enumerate(([(1, 0, "a"), (1, 10, "a"), (1, 40, "b")], [(1, 30, "c"), (1, 20, "c"), (2, 0, "z")], [(1, 50, "b")])):
+        keep(spark.createDataFrame(rows, "episode long, us long, label string"), epoch)
+    got = sorted((r.episode, r.label, r.start, r.stop) for r in I.current_runs(spark, f"{tmp_path}/runs", "episode").collect())
+    assert got == [(1, "a", 0, 2), (1, "b", 4, 6), (1, "c", 2, 4), (2, "z", 0, 1)]
+
+
+def test_building_a_query_runs_nothing(spark, small):
+    import __spark_entry__ as entry
+    for name in ("rs04_rs07_resampled_frames", "wn19_rate_limited_path", "lb02_grasp_labels", "wn28_greedy_packing", "flagship_verdicts", "gt02_kinematic_verdicts"):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        entry.queries()[name](spark, small)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{name}")
+        assert len(jobs) <= 12, name  # footers of the tables that are read, no query job
+        assert all(len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) == 1 for j in jobs)
 
 
 def test_a_reversal_splits_a_movement(spark):

@@ -1,30 +1,29 @@
-"""Cutting a long plan at a written table."""
+"""Intermediates that several branches of one query read, and the folder all machines share."""
 from __future__ import annotations
 
 import tempfile
-import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_OWN: dict[str, str] = {}
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; an own one only in local mode, where there is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return named.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-trajlake-")
-    return _LOCAL[app]
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-trajlake-")
+    return _OWN[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several later branches read, and continue from the written table.
+    """An intermediate that several later branches read, computed once when the first of them runs.
 
-    The branches then prune its columns, and a lost executor costs a re-read instead of a recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    It stays with the executors, in memory or on their disks; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -92,14 +92,20 @@ def reason_kinds(records: DataFrame) -> DataFrame:
     return rows.withColumn("kind", reason_kind(F.col("reason")))
 
 
-def failure_reasons(records: DataFrame, k: int = 25, *, failed_only: bool = False) -> DataFrame:
-    """Episodes per reason kind and tier: as the first reason, and anywhere among the reasons."""
+def reason_counts(records: DataFrame, *, failed_only: bool = False) -> DataFrame:
+    """Episodes per reason kind and tier: as the first reason, and anywhere among the reasons; every kind."""
     rows = reason_kinds(records)
     if failed_only:
         rows = rows.where(~F.col("passed"))
     per = rows.groupBy("uid", "tier", "kind").agg(F.min("at").alias("at"))
-    counts = per.groupBy("tier", "kind").agg(F.count_if(F.col("at") == 0).alias("first"), F.count(F.lit(1)).alias("anywhere"))
-    return top_per_group(counts, ["tier"], "anywhere", "kind", k)
+    return per.groupBy("tier", "kind").agg(F.count_if(F.col("at") == 0).alias("first"), F.count(F.lit(1)).alias("anywhere"))
+
+
+def failure_reasons(records: DataFrame, k: int = 25) -> DataFrame:
+    """The ``k`` most frequent kinds of a tier in each of two rankings: as the first reason, and anywhere."""
+    counts = reason_counts(records)
+    out = [top_per_group(counts.where(F.col(r) > 0).select("tier", "kind", F.col(r).alias("episodes")), ["tier"], "episodes", "kind", k).withColumn("ranking", F.lit(r)) for r in ("first", "anywhere")]
+    return out[0].unionByName(out[1]).select("tier", "ranking", "kind", "episodes")
 
 
 AXES = ("cell", "neck", "extent", "speed", "start", "base_motion")

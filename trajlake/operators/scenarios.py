@@ -59,7 +59,7 @@ def scenarios(indices: DataFrame, index: str, namespace: str, split: str, group_
     group = F.floor(i / group_size).cast("long") if group_size > 1 else F.lit(None).cast("long")
     member = F.pmod(i, F.lit(group_size)).cast("long") if group_size > 1 else F.lit(None).cast("long")
     unit = F.coalesce(group, i)
-    key = F.concat(F.lit("g" if group_size > 1 else ""), F.lpad(unit.cast("string"), 6, "0"))
+    key = F.concat(F.lit("g" if group_size > 1 else ""), F.format_string("%06d", unit))
     out = indices.select(index, group.alias("group"), member.alias("member"), key.alias("key"), cell(namespace, split, unit).alias("cell"))
     drawn = {a: choose(uniform(namespace, split, F.col("key"), a), *spec) for a, spec in AXES.items()}
     mobile, c = F.col("cell").isin(*MOBILE), F.col("cell")

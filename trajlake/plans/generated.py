@@ -30,7 +30,7 @@ def _pick(u: str, options, weights) -> str:
 SLOTS = "[" + ", ".join(f"'{c}'" for c in G.CELLS) + "]"
 SCEN = f"""
 WITH i AS (SELECT o_orderkey AS idx, o_orderkey // 4 AS grp, o_orderkey % 4 AS member FROM orders), p AS (SELECT b, row_number() OVER (PARTITION BY b ORDER BY sha1(concat_ws('/', 'ns', 'train', b, s))) - 1 AS pos, s FROM (SELECT b, unnest(range(0, 10)) AS s FROM (SELECT DISTINCT grp // 10 AS b FROM i))),
-k AS (SELECT i.*, 'g' || lpad(CAST(grp AS VARCHAR), 6, '0') AS key, {SLOTS}[s + 1] AS cell FROM i JOIN p ON p.b = grp // 10 AND p.pos = grp % 10),
+k AS (SELECT i.*, 'g' || printf('%06d', grp) AS key, {SLOTS}[s + 1] AS cell FROM i JOIN p ON p.b = grp // 10 AND p.pos = grp % 10),
 d AS (SELECT *, {", ".join(f"{_pick(_u(chr(39) + 'ns' + chr(39), chr(39) + 'train' + chr(39), 'key', chr(39) + a + chr(39)), *spec)} AS {a}_0" for a, spec in G.AXES.items())}, {_u("'ns'", "'train'", "key", "'joint'")} AS uj FROM k)"""
 
 

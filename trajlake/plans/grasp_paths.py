@@ -20,7 +20,7 @@ HELD = islands("frames", "CASE WHEN closed THEN 1 END", "min(t) AS t0, max(t) AS
 e AS (SELECT h.episode, h.stop, f.opening + 0.02::DOUBLE AS need FROM hd h JOIN frames f ON f.episode = h.episode AND f.row = h.stop)
 SELECT e.episode, e.stop, min(f.row) - 1 AS release FROM e JOIN frames f ON f.episode = e.episode AND f.row >= e.stop AND f.opening > e.need GROUP BY e.episode, e.stop"""))
 def _(spark, d):
-    f = cut(L.frames(spark, d).select("episode", "row", "closed", "opening"))
+    f = L.frames(spark, d).select("episode", "row", "closed", "opening")
     return T.release_rows(f, F.col("closed"), "opening", 0.02, L.FRAMES)
 
 
@@ -31,7 +31,7 @@ fi AS (SELECT episode, arg_min(off, start) AS first FROM sg GROUP BY episode),
 h AS (SELECT f.episode, f.row, f.t, r.lo, r.hi, r.poff, r.off, fi.first FROM frames f JOIN fi USING (episode) ASOF LEFT JOIN tr r ON f.episode = r.episode AND f.t > r.lo)
 SELECT episode, row, round(coalesce(poff + least(greatest((t - lo)/greatest(hi - lo, 1e-9), 0), 1)*(off - poff), first), 6) + 0.0 AS "offset" FROM h"""))
 def _(spark, d):
-    f = cut(L.frames(spark, d).select("episode", "row", "t", "closed"))
+    f = L.frames(spark, d).select("episode", "row", "t", "closed")
     seg = S.runs(f, F.when(F.col("closed"), F.lit(1)), L.FRAMES, {"t0": F.min("t"), "t1": F.max("t")}).withColumn("offset", (F.col("start") % 5) * 0.3)
     out = T.offset_track(f.select("episode", "row", "t"), seg, "t", L.FRAMES, L.CLOCK, approach=0.2, retreat=0.1)
     return out.select("episode", "row", r6("offset").alias("offset"))
@@ -44,7 +44,7 @@ aw AS (SELECT episode, nxt, max(CASE WHEN s >= 1 THEN row END) AS away FROM fr W
 k AS (SELECT f.*, CASE WHEN a.away IS NOT NULL AND f.row > a.away THEN f.s ELSE 1 END AS k FROM fr f LEFT JOIN aw a USING (episode, nxt))
 SELECT f.episode, f.row, round(CASE WHEN k.k < 1 THEN k.ax + k.k*(f.x - k.ax) ELSE f.x END, 6) + 0.0 AS ox, round(CASE WHEN k.k < 1 THEN k.ay + k.k*(f.y - k.ay) ELSE f.y END, 6) + 0.0 AS oy FROM frames f LEFT JOIN k USING (episode, row)"""))
 def _(spark, d):
-    f = cut(L.frames(spark, d).select("episode", "row", "closed", "x", "y", "z"))
+    f = L.frames(spark, d).select("episode", "row", "closed", "x", "y", "z")
     return T.straight_approach(f, F.col("closed"), L.FRAMES, height=0.01, blend=0.03).select("episode", "row", r6("ox").alias("ox"), r6("oy").alias("oy"))
 
 

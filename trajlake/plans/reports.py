@@ -66,9 +66,10 @@ REASONS = f"""reasons AS (
 
 @query("ag05_failure_reasons", "AG5", "PJ12", sql=with_(RECORDS, REASONS + """,
 counts AS (SELECT tier, kind, count(*) FILTER (WHERE i = 1) AS first, count(*) AS anywhere
-  FROM (SELECT uid, tier, kind, min(i) AS i FROM reasons GROUP BY ALL) GROUP BY ALL)
-SELECT tier, kind, first, anywhere FROM counts
-QUALIFY row_number() OVER (PARTITION BY tier ORDER BY anywhere DESC, kind) <= 25"""))
+  FROM (SELECT uid, tier, kind, min(i) AS i FROM reasons GROUP BY ALL) GROUP BY ALL),
+ranked AS (SELECT tier, kind, unnest(['first', 'anywhere']) AS ranking, unnest([first, anywhere]) AS episodes FROM counts)
+SELECT tier, ranking, kind, episodes FROM ranked WHERE episodes > 0
+QUALIFY row_number() OVER (PARTITION BY tier, ranking ORDER BY episodes DESC, kind) <= 25"""))
 def _(spark, d):
     return R.failure_reasons(L.records(spark, d))
 
@@ -77,7 +78,7 @@ def _(spark, d):
 SELECT tier, kind, count(*) FILTER (WHERE i = 1) AS first, count(*) AS anywhere
 FROM (SELECT uid, tier, kind, min(i) AS i FROM reasons GROUP BY ALL) GROUP BY ALL"""))
 def _(spark, d):
-    return R.failure_reasons(L.records(spark, d), failed_only=True)
+    return R.reason_counts(L.records(spark, d), failed_only=True)
 
 
 @query("fns1_reason_buckets_of_texts", "FN-S1", "PJ12", sql=f"""

@@ -5,7 +5,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.lineage import scratch_folder
+from ..operators import sequence as S
+from ..operators.blocks import number_rows
+from ..operators.lineage import shared_folder
 from ..sources import landing as L
 from ..streaming import incremental as I
 from .registry import query, r6
@@ -14,7 +16,7 @@ from .sqlbase import FRAMES, with_
 
 
 def _folder(spark, name: str) -> str:
-    return f"{scratch_folder(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
 @query("st01_running_counters", "ST1", "AG9", sql="""
@@ -35,9 +37,9 @@ def _(spark, d):
 
 @query("st02_published_once", "ST2", "SK10", sql="SELECT DISTINCT 'f/' || l_partkey AS path FROM lineitem")
 def _(spark, d):
-    stream = I.watch_table(spark, d, "lineitem.parquet").select(F.concat(F.lit("f/"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    stream = I.watch_table(spark, d, "lineitem.parquet").select(F.concat(F.lit("f/"), F.col("l_partkey").cast("string")).alias("path"))
     out = _folder(spark, "published")
-    I.run_available(I.first_seen(stream, "path", "at", "10 minutes").select("path"), I.publish_once(f"{out}/result", "path"), f"{out}/checkpoint")
+    I.run_available(stream, I.publish_once(f"{out}/result", "path"), f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/result").select("path")
 
 
@@ -50,10 +52,14 @@ def _(spark, d):
     return I.current_index(spark, f"{out}/result", "uid", ["us", "event_id"]).select("uid", "event_type", r6("value", 4).alias("value"))
 
 
-@query("st04_live_runs", "ST4", "WN9", "UX5", sql=with_(FRAMES, islands("frames", "event_type") + """,
-n AS (SELECT episode, count(*) AS n FROM frames GROUP BY episode) SELECT r.episode, r.label, r.start, r.stop FROM runs r JOIN n USING (episode) WHERE r.stop < n"""))
+@query("st04_live_runs", "ST4", "WN9", sql=with_(FRAMES, islands("frames", "event_type") + " SELECT episode, label, start, stop FROM runs"))
 def _(spark, d):
-    stream = I.watch_table(spark, d, "events.parquet").select(F.col("user_id").alias("episode"), (L.micros("ts") / 1e6).alias("t"), "event_id", F.col("event_type").alias("label"))
+    stream = I.watch_table(spark, d, "events.parquet").select(F.col("user_id").alias("episode"), L.micros("ts").alias("us"), "event_id", F.col("event_type").alias("label"))
+
+    def find(frames):
+        rows = number_rows(frames, ["episode"], ["us", "event_id"], F.floor(F.col("us") / L.DAY_US))
+        return S.runs(rows.select("episode", "row", "label"), F.col("label"), L.FRAMES).select("episode", "label", "start", "stop")
+
     out = _folder(spark, "runs")
-    I.run_available(I.live_runs(stream), I.append_changes(f"{out}/result"), f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/result").select("episode", "label", "start", "stop")
+    I.run_available(stream, I.keep_runs(f"{out}/frames", f"{out}/result", "episode", find), f"{out}/checkpoint")
+    return I.current_runs(spark, f"{out}/result", "episode").select("episode", "label", "start", "stop")

@@ -5,26 +5,27 @@ repeated after a lost driver or executor replaces what it wrote before.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.reports import STAGES, stage_flags
 
+#: Hash partitions of the tables a sink looks into again.
+BUCKETS = 64
+
 
 def watch_json(spark: SparkSession, path: str, schema, *, files_per_batch: int = 1000) -> DataFrame:
     """Record files as they arrive (declared schema, bounded batches)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def watch_table(spark: SparkSession, folder: str, file: str) -> DataFrame:
-    """A landed Parquet file read as a stream."""
+def watch_table(spark: SparkSession, folder: str, file: str, *, files_per_batch: int = 1000) -> DataFrame:
+    """A landed Parquet file read as a stream, in bounded batches."""
     schema = spark.read.parquet(f"{folder}/{file}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -48,22 +49,22 @@ def replace_result(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def publish_once(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Sink that publishes each key once over the life of the stream: keys of earlier epochs are left out."""
+    """Sink that publishes each key once over the life of the stream: keys of earlier epochs are left out.
+
+    The published table is partitioned by a hash of the key; a batch reads the partitions its own keys fall into. No
+    watermark is involved, so a key that arrives late is published like any other."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = batch.dropDuplicates([key]).withColumn("bucket", bucket)
         if epoch > 0:
-            earlier = spark.read.parquet(path).where(F.col("epoch") < epoch).select(key)
+            own = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+            earlier = batch.sparkSession.read.parquet(path).where((F.col("epoch") < epoch) & F.col("bucket").isin(own)).select(key)
             new = new.join(earlier, key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
     return write
 
 
-def first_seen(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Rows whose key was not seen within ``delay`` before (bounded state; the sink removes older repeats)."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-
-
 def append_changes(path: str) -> Callable[[DataFrame, int], None]:
     """Sink of an incremental index: each epoch's rows are appended as they are, nothing is rewritten."""
     def write(batch: DataFrame, epoch: int) -> None:
@@ -83,30 +84,26 @@ def compact(spark: SparkSession, path: str, target: str, key: str, order: Sequen
     current_index(spark, path, key, order).write.mode("overwrite").parquet(f"{target}/epoch=0")
 
 
-RUN_STATE = "label string, start long, next long, t0 double, last double"
-RUN_ROWS = "episode long, label string, start long, stop long, t0 double, t1 double"
-
+def keep_runs(frames_path: str, runs_path: str, episode: str, find: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Sink that keeps the runs of every episode right as frames arrive, in any order.
 
-def _close_runs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    label, start, row, t0, last = state.get if state.exists else (None, 0, 0, 0.0, float("-inf"))
-    rows = pd.concat(list(batches)).sort_values(["t", "event_id"], kind="stable")
-    closed = []
-    for value, t in zip(rows["label"], rows["t"]):
-        if t < last:
-            continue  # later than the watermark of its own episode: the run it belongs to has been closed
-        value = None if pd.isna(value) else value
-        if value != label:
-            if label is not None:
-                closed.append((key[0], label, start, row, t0, last))
-            label, start, t0 = value, row, float(t)
-        row, last = row + 1, float(t)
-    state.update((label, start, row, t0, last))
-    names = [c.split()[0] for c in RUN_ROWS.split(", ")]
-    yield pd.DataFrame(closed, columns=names)
+    Each epoch's frames are appended as they are. The episodes it touches get their runs anew from all their frames so far,
+    by ``find``: a late frame changes the runs it belongs to, and the run at the end of an episode is there while it is
+    still growing. Frames are partitioned by a hash of the episode, so a batch reads the partitions of its own episodes."""
+    bucket = F.pmod(F.xxhash64(episode), F.lit(BUCKETS)).cast("int")
 
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{frames_path}/epoch={epoch}")
+        stored = batch.sparkSession.read.parquet(frames_path).where(F.col("epoch") <= epoch)
+        touched = stored.where(F.col("epoch") == epoch).select(episode, "bucket").distinct()
+        own = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
+        frames = stored.where(F.col("bucket").isin(own)).drop("epoch", "bucket").join(touched.select(episode), episode, "left_semi")
+        find(frames).write.mode("overwrite").parquet(f"{runs_path}/epoch={epoch}")
+    return write
 
-def live_runs(frames: DataFrame) -> DataFrame:
-    """Runs of a label on a live frame stream (episode, t, event_id, label): emitted when they end.
 
-    The state of an episode is five numbers, whatever its length."""
-    return frames.groupBy("episode").applyInPandasWithState(_close_runs, RUN_ROWS, RUN_STATE, "append", GroupStateTimeout.NoTimeout)
+def current_runs(spark: SparkSession, path: str, episode: str) -> DataFrame:
+    """The runs of every episode as of the last epoch that touched it."""
+    every = spark.read.parquet(path)
+    last = every.groupBy(episode).agg(F.max("epoch").alias("epoch"))
+    return every.join(last, [episode, "epoch"]).drop("epoch")
