@@ -93,14 +93,19 @@ def round_half_even(x: Column, digits: int = 0) -> Column:
 
 
 def sig3(x: Column) -> Column:
-    """A number with three significant digits and no trailing zeros (like the C format ``%.3g``)."""
+    return significant(x, 3)
+
+
+def significant(x: Column, digits: int) -> Column:
+    """A number with that many significant digits and no trailing zeros (like the C format ``%.3g``)."""
+    last = digits - 1
     size = F.abs(x)
     at = F.floor(F.log10(size))
     # rounding may carry into the next decade (0.9996 -> 1)
-    at = F.floor(F.log10(F.round(size * F.pow(F.lit(10.0), 2 - at)) / F.pow(F.lit(10.0), 2 - at)) + 1e-9)
+    at = F.floor(F.log10(F.round(size * F.pow(F.lit(10.0), last - at)) / F.pow(F.lit(10.0), last - at)) + 1e-9)
     out = F.when(size == 0, F.lit("0"))
-    for e in range(-4, 3):
-        text = F.format_string(f"%.{2 - e}f", x.cast("double"))
-        out = out.when(at == e, F.regexp_replace(text, r"\.?0+$", "") if e < 2 else text)
-    plain = F.format_string("%.2e", x.cast("double"))
+    for e in range(-4, digits):
+        text = F.format_string(f"%.{last - e}f", x.cast("double"))
+        out = out.when(at == e, F.regexp_replace(text, r"\.?0+$", "") if e < last else text)
+    plain = F.format_string(f"%.{last}e", x.cast("double"))
     return out.otherwise(F.regexp_replace(plain, r"\.?0*e", "e"))

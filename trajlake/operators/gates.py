@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sig3
+from ..functions.text import sig3, significant
 from .blocks import Axis, running
 from .sequence import mark_runs
 
@@ -77,7 +77,7 @@ def limit_reasons(frames: DataFrame, keys: Sequence[str], row: str, *, clearance
     n = lambda c: F.col(c).cast("string")
     found = F.array(
         F.struct(F.lit(6).alias("place"), (F.col("m.value") > 1e-9).alias("bad"),
-                 F.concat(F.lit("joint limit exceeded by "), sig3(F.col("m.value")), F.lit(" rad at frame "), n("m.row")).alias("reason")),
+                 F.concat(F.lit("joint limit exceeded by "), significant(F.col("m.value"), 4), F.lit(" rad at frame "), n("m.row")).alias("reason")),
         F.struct(F.lit(7).alias("place"), (F.col("s.value") > 1 + 1e-6).alias("bad"),
                  F.concat(F.lit("speed limit exceeded: joint "), n("s.joint"), F.lit(" at "), sig3(F.col("s.value")), F.lit(" x limit (frame "), n("s.row"), F.lit(")")).alias("reason")),
         F.struct(F.lit(8).alias("place"), (-F.col("c.value") < clearance).alias("bad"),

@@ -21,12 +21,16 @@ INF = float("inf")
 
 def closed_by_opening(frames: DataFrame, time: str, axis: Axis, *, closed_opening: float = 0.5, drop: float = 0.1,
                       rate: float = 0.25, level_span: float = 0.01) -> DataFrame:
-    """Closed state without a command: below the threshold, or stalled below the open level; never while opening."""
+    """Closed state without a command: below the threshold, or stalled below the open level; never while opening.
+
+    An episode of fewer than three rows has no rate to speak of and follows the threshold alone."""
     level = quantile(frames, axis.keys, F.col("opening"), 0.95, name="__level", span=level_span)
     out = gradient(frames, time, {"__rate": F.col("opening")}, axis).join(level, list(axis.keys))
     stalled = (F.col("opening") < F.col("__level") - drop) & (F.abs("__rate") <= rate)
     closed = ((F.col("opening") < closed_opening) | stalled) & (F.col("__rate") <= rate)
-    return out.withColumn("is_closed", closed).drop("__level", "__rate")
+    sizes = frames.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("__n"))
+    closed = F.when(F.col("__n") < 3, F.col("opening") < closed_opening).otherwise(closed)
+    return out.join(sizes, list(axis.keys)).withColumn("is_closed", closed).drop("__level", "__rate", "__n")
 
 
 def closed_by_command(frames: DataFrame, time: str, axis: Axis, *, drop: float = 0.1, rate: float = 0.25,

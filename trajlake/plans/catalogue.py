@@ -199,7 +199,7 @@ jb AS (SELECT b.*, CASE WHEN j AND batch = last THEN batch - 1 ELSE batch END AS
 
 def packed(spark, d):
     units = covered(spark, d).groupBy("family", "selector").agg(F.sum("transfer").alias("t"), F.sum("scratch").alias("s"), F.count(F.lit(1)).alias("entries"))
-    units = cut(number_rows(units, ["family"], ["selector"], F.rpad(F.split_part("selector", F.lit("/"), F.lit(2)), 4, " ")))
+    units = cut(number_rows(units, ["family"], ["selector"], F.rpad(F.split_part("selector", F.lit("/"), F.lit(2)), 4, "/")))
     return P.pack(units, Axis(("family",), "row", 65_536), LIM, size="t", scratch="s")
 
 

@@ -1,4 +1,4 @@
-"""The flagship query: label, slow down, resample and gate every demonstration."""
+"""The flagship query: slow down and resample every demonstration, and judge its base speed."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from .sequences import islands
 from .sqlbase import FRAMES, with_
 
 
-@query("flagship_verdicts", "GT2", "RS3", "RS4", "LB7", "CM11", sql=with_(FRAMES, TICKS + f""",
+@query("flagship_verdicts", "RS3", "RS4", "LB7", "CM11", sql=with_(FRAMES, TICKS + f""",
 o AS (SELECT episode, k, x + u*dx AS x, y + u*dy AS y, yaw + u*dyaw AS yaw, (closed OR u >= 1) AND (nclosed OR u <= 0) AS held FROM clk),
 n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(yaw) OVER w AS nyaw FROM o WINDOW w AS (PARTITION BY episode ORDER BY k)),
 r AS (SELECT *, abs(cos(yaw)*(nx-x) + sin(yaw)*(ny-y))/{STEP_DAYS}/{LIMITS["bx"]} AS rx, abs(cos(yaw)*(ny-y) - sin(yaw)*(nx-x))/{STEP_DAYS}/{LIMITS["by"]} AS ry FROM n),

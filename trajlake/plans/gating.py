@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import planar
 from ..functions import rotation as R
 from ..functions.vectors import Sheet, cols, norm
 from ..operators import gates as A
@@ -25,7 +26,10 @@ def residuals(spark, d):
     gap = s.put("gap", [F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"])
     turn = s.put("turn", R.multiply(R.conjugate(cols(*(f"a{c}" for c in K.Q))), cols(*(f"b{c}" for c in K.Q))))
     q = F.col("q")
-    step = lambda i: F.coalesce(F.col("nq")[i] - q[i], F.lit(0.0))
+    turned = planar.wrap(F.coalesce(F.col("nq")[2] - q[2], F.lit(0.0)))
+    along, across = planar.to_body(*(F.coalesce(F.col("nq")[i] - q[i], F.lit(0.0)) for i in (0, 1)), q[2] + turned / 2.0)
+    base = (along, across, turned)  # base steps along the body's axes, at the yaw halfway
+    step = lambda i: base[i] if i < 3 else F.coalesce(F.col("nq")[i] - q[i], F.lit(0.0))
     return s.select("episode", "row", norm(gap).alias("left_pos"), R.angle(turn).alias("left_rot"), (F.col("row") % 3 == 0).alias("left_held"),
                     (F.col("az") * 4.0 + 1.0).alias("left_z"), A.joint_margin(q, [(-LIMIT, LIMIT)] * 19, first=3).alias("margin"),
                     A.speed_ratio([(step(i), 0.61 if i < 3 else 1.0) for i in range(22)], F.lit(0.4)).alias("speed"),
@@ -36,7 +40,8 @@ RES = f"""
 turn AS (SELECT *, lead(q) OVER (PARTITION BY episode ORDER BY row) AS nq, {K.alias(K.mul(K.conj(K.q_of("a")), K.q_of("b")), K.q_of("r"))} FROM poses),
 res AS (SELECT episode, row, sqrt(pow("bx"-"ax", 2) + pow("by"-"ay", 2) + pow("bz"-"az", 2)) AS left_pos, 2*atan2(sqrt(rqx*rqx + rqy*rqy + rqz*rqz), abs(rqw)) AS left_rot, row % 3 = 0 AS held,
   "az"*4 + 1 AS z, least({", ".join(f"q[{i + 1}] + {LIMIT}, {LIMIT} - q[{i + 1}]" for i in range(3, 22))}) AS margin,
-  [{", ".join(f"coalesce(abs(nq[{i + 1}] - q[{i + 1}]), 0)/0.4::DOUBLE/{0.61 if i < 3 else 1.0}::DOUBLE" for i in range(22))}] AS ratios, open_l AS clearance FROM turn),
+  [{", ".join(f"abs({('sx', 'sy', 'bw')[i]})/0.4::DOUBLE/0.61::DOUBLE" if i < 3 else f"coalesce(abs(nq[{i + 1}] - q[{i + 1}]), 0)/0.4::DOUBLE" for i in range(22))}] AS ratios, open_l AS clearance
+  FROM (SELECT *, cos(my)*dx + sin(my)*dy AS sx, cos(my)*dy - sin(my)*dx AS sy FROM (SELECT *, coalesce(nq[1] - q[1], 0) AS dx, coalesce(nq[2] - q[2], 0) AS dy, q[3] + bw/2 AS my FROM (SELECT *, atan2(sin(coalesce(nq[3] - q[3], 0)), cos(coalesce(nq[3] - q[3], 0))) AS bw FROM turn)))),
 tol AS (SELECT *, CASE WHEN held THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS tp, CASE WHEN held THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS tr, list_max(ratios) AS ratio, list_position(ratios, list_max(ratios)) - 1 AS joint FROM res)"""
 
 
@@ -63,7 +68,7 @@ reasons AS (
   SELECT episode, 0 AS place, 'left TCP target outside the reach band: grasp center z ' || printf('%.2f', z) || ' m not in 0.46-1.87 m at frame ' || row || ' (' || n || ' frames)' AS reason FROM far
   UNION ALL SELECT episode, 1, 'left TCP position residual ' || printf('%.3g', w.e*1e3) || ' mm > ' || printf('%.3g', w.t*1e3) || ' mm at frame ' || w.r || ' (' || n || ' frames)' FROM pos WHERE n > 0
   UNION ALL SELECT episode, 2, 'left TCP rotation residual ' || printf('%.3g', w.e) || ' rad > ' || printf('%.3g', w.t) || ' rad at frame ' || w.r || ' (' || n || ' frames)' FROM rot WHERE n > 0
-  UNION ALL SELECT episode, 6, 'joint limit exceeded by ' || printf('%.3g', -m) || ' rad at frame ' || mr FROM lim WHERE m < -1e-9
+  UNION ALL SELECT episode, 6, 'joint limit exceeded by ' || printf('%.4g', -m) || ' rad at frame ' || mr FROM lim WHERE m < -1e-9
   UNION ALL SELECT episode, 7, 'speed limit exceeded: joint ' || sj || ' at ' || printf('%.3g', s) || ' x limit (frame ' || sr || ')' FROM lim WHERE s > 1 + 1e-6
   UNION ALL SELECT episode, 8, 'self-clearance ' || printf('%.3g', c*1e3) || ' mm < ' || printf('%.3g', 9.0::DOUBLE) || ' mm at frame ' || cr FROM lim WHERE c < 0.009)"""
 

@@ -13,7 +13,8 @@ from ..operators.blocks import Axis
 
 
 def _publish(df: DataFrame, path: str, write) -> None:
-    """Write beside the target and rename, so readers see the whole table or the previous one."""
+    """Write beside the target and rename: a reader sees a whole table, the old or the new one, or for the moment between
+    the two renames none; never part of one."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -69,7 +70,10 @@ def bad_cells(rows: DataFrame) -> DataFrame:
 
 
 def write_typed_tsv(rows: DataFrame, path: str, order: Sequence[str], ints: Sequence[str] = ()) -> None:
-    """Gzip tab-separated table, sorted; integer columns are typed in the header. Identical rows give identical bytes."""
+    """Gzip tab-separated table, sorted; integer columns are typed in the header. A tab or line feed in a cell is refused."""
+    broken = sorted(r["column"] for r in bad_cells(rows).select("column").collect())
+    if broken:
+        raise ValueError(f"cells with a tab or a line feed in {', '.join(broken)}")
     named = rows.sort(*order).select(*[F.col(c).alias(f"{c}:int" if c in ints else c) for c in rows.columns])
     options = {"sep": "\t", "header": True, "compression": "gzip", "nullValue": "", "emptyValue": "", "quote": ""}
     _publish(named, path, lambda df, p: df.write.options(**options).csv(p))
