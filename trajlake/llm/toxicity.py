@@ -255,11 +255,18 @@ class Toxicity:
         self.numbers, self.weights, self.bias = numbers, weights, bias
 
 
+def _some(rows: DataFrame, key, bound: int) -> DataFrame:
+    """About ``bound`` rows at most, by a hash of what they are; never twice as many."""
+    every = -(-rows.count() // bound)
+    return rows.filter(F.pmod(key, F.lit(max(every, 1))) == 0).limit(2 * bound)
+
+
 def _votes(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, labelled: int) -> tuple[dict[str, int], DataFrame]:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     gold = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter((fold("id", folds) != 0) & F.col("toxic").isNotNull())
-            .groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(labelled))
+            .groupBy("id").agg(F.max("toxic").alias("toxic")))
+    gold = _some(gold, F.xxhash64("id"), labelled)
     mined = mine(staged(rows.filter("NOT held_out").join(gold, "id").select("text", "toxic"), "labelled"))
     numbers = {x[0]: i for i, x in enumerate(mined)}
     return numbers, staged(rows.mapInArrow(_vote(numbers, voters(mined)), f"id {kind}, held_out boolean, votes long, features array<int>"), "votes")
@@ -270,7 +277,7 @@ def _fit(numbers: dict[str, int], seen: DataFrame, training: int) -> Toxicity:
 
     open_ = seen.filter("NOT held_out")
     model = label_model(open_.select("votes"))
-    sample = open_.orderBy(F.xxhash64("id"), "id").limit(training).select("features", "votes").collect()
+    sample = _some(open_, F.xxhash64("id", "features"), training).select("features", "votes").collect()
     posterior = model.posterior(np.array([r["votes"] for r in sample], dtype=np.int64)) if sample else []
     return Toxicity(numbers, *fit_linear([(r["features"], float(p)) for r, p in zip(sample, posterior)], max(len(numbers), 1)))
 
@@ -279,9 +286,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
              labelled: int = LABELLED, training: int = TRAINING) -> DataFrame:
     """One row per input row: ``id_col``, ``held_out``, ``score``, ``predicted``.
 
-    Labels of rows with crc32(id as text) mod ``folds`` = 0 are never read. From at most ``labelled`` of the others (in hash
-    order of the id) the voters' word lists and word beginnings are mined; the label model sees the votes of every document
-    outside the held-out fold, labelled or not; the classifier is trained on its posteriors for at most ``training`` of them.
+    Labels of rows with crc32(id as text) mod ``folds`` = 0 are never read. From about ``labelled`` of the others at most (by a
+    hash of the id) the voters' word lists and word beginnings are mined; the label model sees the votes of every document
+    outside the held-out fold, labelled or not; the classifier is trained on its posteriors for about ``training`` of them at most.
     The score reads the whole text and nothing else. Null and empty texts have no feature and get the score of the bias.
     Null ids are held out; repeated rows are scored each; several labels of an id count as toxic if one is; without labels
     every score is that of the bias. Other columns are ignored; an empty table gives no rows.
