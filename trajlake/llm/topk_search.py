@@ -150,7 +150,7 @@ def topk_search(vectors: DataFrame, queries_every: int = 50, k: int = 5, id_col:
     rows = _quantised(vectors, id_col, vector_col, scale).distinct()
     dealt = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
     width, total = max(dealt[0] or 1, 1), dealt[1]
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    sample = rows.filter(F.pmod(F.xxhash64("id", "v"), F.lit(max(1, total // pivots))) == 0).limit(2 * pivots).collect()
     near = rows.mapInArrow(_near([r["v"] for r in sample] or [[0]], width), "id long, v array<long>, pivot int")
     parts = max(1, -(-total // (block * CELL_BLOCKS)))
     sort = near.repartitionByRange(parts, "pivot", F.xxhash64("id")).sortWithinPartitions("pivot", F.xxhash64("id"))
