@@ -28,9 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
-def residual_pairs(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """``a < b``: pairs of a bucket whose ends are still in different components, for ``buckets(bucket, node)``.
+def residual_pairs(buckets: DataFrame, parts: DataFrame, similar: int) -> DataFrame:
+    """``a < b``: pairs of a bucket whose ends are still in different components, for ``buckets(bucket, node, size)``.
 
+    Sets whose sizes alone rule out a similarity of ``similar`` / 100 are no pair.
     One side of a pair is always outside the largest component of its bucket, so a bucket that one component fills costs
     only its few other members times its size, and a settled bucket nothing."""
     placed = staged(buckets.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
@@ -38,8 +39,9 @@ def residual_pairs(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     open_ = (sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1")
              .select("bucket", F.col("top.component").alias("top")))
     rows = staged(placed.join(open_, "bucket"), "open")
-    few = rows.filter("component <> top").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    pairs = few.join(rows.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy")), "bucket").filter("cx <> cy")
+    few = rows.filter("component <> top").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"))
+    rows = rows.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("ny"))
+    pairs = few.join(rows, "bucket").filter((F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= similar * F.greatest("nx", "ny")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -48,3 +50,24 @@ def leader_pairs(buckets: DataFrame) -> DataFrame:
     lead = buckets.groupBy("bucket").agg(F.min("node").alias("l1"), F.max("node").alias("l2"), F.min(F.struct(F.xxhash64("node", "bucket"), "node")).alias("l3"))
     pairs = buckets.join(lead, "bucket").select("node", F.explode(F.array("l1", "l2", "l3.node")).alias("leader")).filter("node <> leader")
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def asking_pairs(buckets: DataFrame, parts: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What must still be compared among nodes of ``buckets(bucket, node)``: ``(asks, members, crowd)``.
+
+    ``asks(node, mine, component, n)``: nodes of a component that share a bucket with a larger one of ``n`` > ``small`` nodes,
+    listed by ``members(component, node)``. ``crowd(bucket, node, component, m)``: the ``m`` nodes of smaller components in a
+    bucket that holds several, which must be held against each other. A bucket that one component fills costs only its few
+    other members, not its pairs."""
+    placed = staged(buckets.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    members = placed.select("component", "node").distinct()
+    totals = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.select("bucket", "component").distinct()
+    open_ = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket")
+    sizes = sizes.join(open_, "bucket").join(totals, "component")
+    rows = staged(placed.join(sizes.select("bucket", "component", F.col("n").alias("own")), ["bucket", "component"]).select("bucket", "node", F.col("component").alias("mine"), "own"), "open")
+    large = rows.filter(F.col("own") > small).select("bucket", F.col("mine").alias("component"), F.col("own").alias("n")).distinct()
+    asks = rows.join(large, "bucket").filter("n > own OR (n = own AND component > mine)").select("node", "mine", "component", "n").distinct()
+    few = rows.filter(F.col("own") <= small)
+    counts = few.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("mine").alias("low"), F.max("mine").alias("high")).filter("low < high").select("bucket", "m")
+    return staged(asks, "asks"), members, staged(few.select("bucket", "node", F.col("mine").alias("component")).join(counts, "bucket"), "crowd")

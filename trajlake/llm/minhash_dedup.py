@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .graph import components, leader_pairs, residual_pairs
+from .graph import asking_pairs, components, leader_pairs
 
 HASHES, ROWS, STEP = 128, 5, 32
 #: Posterior probability below which a pair is given up: the chosen miss probability of a comparison step.
 MISS = 1e-5
 SIMILAR = 80
 SALTS = 32
+#: Up to ``TINY`` nodes of components of at most ``SMALL`` in a bucket are paired; all else meets in cells of about ``CELL`` nodes a side.
+SMALL, TINY, CELL = 8, 16, 1024
 #: Words whose numbers a Python worker keeps.
 WORDS = 1_500_000
 
@@ -199,8 +201,80 @@ def _links(pairs: DataFrame, nodes: DataFrame, size: int, similar: int, needed:
     return staged(with_ends(close, "text", "text").select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, similar), "a long, b long"), "links")
 
 
+def _ask(size: int, similar: int, needed: dict[int, int], ordered: bool):
+    """Nodes of a cell against members of other components: sequential comparison, then exact sets from the likeliest on.
+
+    One link per node and component is enough. ``ordered``: both sides are alike, and a node looks at smaller ones only."""
+    def ask(left, right):
+        import numpy as np
+        import pandas as pd
+
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            tool = _Shingles(size)
+            stack = lambda frame: np.frombuffer(b"".join(frame["signature"]), dtype="<u4").reshape(len(frame), -1)
+            members, names, texts, parts = stack(right), right["node"].to_numpy(), right["text"].to_list(), right["component"].to_numpy()
+            sets: dict[int, frozenset] = {}
+            exact = lambda text: frozenset(map(tuple, tool.sets(text).tolist()))
+            for node, mine, signature, text in zip(left["node"], left["mine"], stack(left), left["text"]):
+                alive = np.flatnonzero((parts != mine) & ((names < node) | (not ordered)))
+                matches, before = np.zeros(len(members), dtype=np.int64), 0
+                for n, least in needed.items():
+                    matches[alive] += (members[alive, before:n] == signature[before:n]).sum(axis=1)
+                    alive, before = alive[matches[alive] >= least], n
+                if not len(alive):
+                    continue
+                if len(tool.numbers) > WORDS // 2:  # no renumbering while sets are held
+                    tool, sets = _Shingles(size), {}
+                own, done, wanted = exact(text), set(), len(np.unique(parts[alive]))
+                for m in alive[np.argsort(-matches[alive], kind="stable")].tolist():
+                    if parts[m] in done:
+                        continue
+                    if m not in sets:
+                        sets[m] = exact(texts[m])
+                    both = len(own & sets[m])
+                    if 100 * both >= similar * (len(own) + len(sets[m]) - both):
+                        links.append((int(node), int(names[m])))
+                        done.add(parts[m])
+                        if len(done) == wanted:
+                            break
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    return ask
+
+
+def _cells(left: DataFrame, right: DataFrame, key: str, grid: DataFrame, nodes: DataFrame, ask) -> DataFrame:
+    """Every left row of a key meets every right row of it in one cell of the key's ``grid(key, rows, columns)``."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    mine = "component" if key == "bucket" else "mine"
+
+    def side(rows: DataFrame, component: str, own: str, spread: str, name: str) -> DataFrame:
+        ends = nodes.select(*(F.col(x).alias(x) for x in ("node", "signature", "text")))
+        dealt = rows.join(grid, key).select(F.col(key).alias("key"), "node", F.col(component).alias(name), slot(own).alias("r" if own == "rows" else "c"), upto(spread).alias("c" if own == "rows" else "r"))
+        return dealt.join(ends, "node").select(*(F.col(x).alias(x) for x in ("key", "r", "c", "node", name, "signature", "text")))
+
+    cells = side(left, mine, "rows", "columns", "mine").groupBy("key", "r", "c").cogroup(side(right, "component", "columns", "rows", "component").groupBy("key", "r", "c"))
+    return staged(cells.applyInPandas(ask, "a long, b long"), "links")
+
+
+def _remaining_links(buckets: DataFrame, parts: DataFrame, tried: DataFrame, nodes: DataFrame, size: int, similar: int, needed: dict[int, int], small: int, tiny: int) -> DataFrame:
+    """Links between components that share a bucket: one per asking node and component is enough to join them."""
+    asks, members, crowd = asking_pairs(buckets, parts, small)
+    x, y = (crowd.filter(F.col("m") <= tiny).select("bucket", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "xy")
+    few = x.join(y, "bucket").filter("x < y AND cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = _links(staged(few, "pairs"), nodes, size, similar, needed)
+    grid = asks.groupBy("component", "n").agg(F.count(F.lit(1)).alias("asking"))
+    grid = staged(grid.select("component", F.ceil(F.col("asking") / CELL).alias("rows"), F.ceil(F.col("n") / CELL).alias("columns")), "grid")
+    links = links.unionByName(_cells(asks.select("component", "node", "mine"), members, "component", grid, nodes, _ask(size, similar, needed, False)))
+    crowd = crowd.filter(F.col("m") > tiny)
+    side = F.ceil(F.col("m") / CELL)
+    grid = staged(crowd.select("bucket", side.alias("rows"), side.alias("columns")).distinct(), "grid")
+    crowd = crowd.select("bucket", "node", "component")
+    return links.unionByName(_cells(crowd, crowd, "bucket", grid, nodes, _ask(size, similar, needed, True)))
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similar: int = SIMILAR, hashes: int = HASHES,
-                  rows_per_band: int = ROWS, miss: float = MISS) -> DataFrame:
+                  rows_per_band: int = ROWS, miss: float = MISS, small: int = SMALL, tiny: int = TINY) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``, ``text_key`` (xxhash64 of the text).
 
     Shingles are ``size`` words (A-Z in lower case, ASCII white space apart). Texts without a word, and null texts, have
@@ -209,7 +283,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows fall into one component and all carry its name. Other columns are ignored; an empty table gives no rows.
 
     Equal sets become one node first (128-bit digest of the sorted set), so copies never pair up. Banding brings candidates;
-    every member of a bucket is compared with three leaders of it, then members of components that are still apart. A pair is
+    every member of a bucket is compared with three leaders of it; components that share a bucket and are still apart are then
+    held against each other, the smaller one's members of that bucket against all of the larger one. A pair is
     compared ``STEP`` hashes at a time and given up once the posterior of the similarity falls below ``miss``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -226,8 +301,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     needed = fewest_matches(similar, hashes, STEP, miss)
     tried = staged(leader_pairs(buckets), "pairs")
     links = _links(tried, nodes, size, similar, needed)
-    rest = residual_pairs(buckets, components(links)).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_links(staged(rest, "pairs"), nodes, size, similar, needed))
+    links = links.unionByName(_remaining_links(buckets, components(links), tried, nodes, size, similar, needed, small, tiny))
     parts = components(links)
     placed = classes.join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", F.coalesce("component", "node").alias("part"))
     members = staged(signed.select("row", "id", "n_shingles", "key", F.xxhash64("text").alias("text_key")).join(placed, "key", "left"), "members")
