@@ -17,7 +17,7 @@ BY_TEST = {
     "SC8": "sources/files.py read_trajectories", "SC13": "sources/files.py file_digests", "SK1": "sources/sinks.py write_index", "SK3": "sources/sinks.py write_episodes",
     "SK4": "sources/sinks.py write_views", "SK5": "sources/sinks.py append_records", "SK6": "operators/reports.py markdown_stages", "SK7": "sources/sinks.py write_typed_tsv",
     "SK8": "sources/sinks.py write_job_manifest", "SK9": "sources/sinks.py write_checksums", "SK10": "sources/sinks.py new_assets",
-    "UX1": "operators/control_views.py mode", "UX2": "sources/files.py register_source", "UX3": "operators/annotations.py", "UX4": "plans/catalogue.py units",
+    "UX1": "operators/control_views.py COLUMNS, MEANING", "UX2": "sources/files.py register_source", "UX3": "operators/annotations.py", "UX4": "plans/catalogue.py units",
     "UX5": "operators/folds.py", "UX6": "sources/files.py file_digests",
 }
 

@@ -10,7 +10,6 @@ Input columns: ``x, y, yaw`` base pose; ``q, qd`` 22-joint arrays; TCP poses in
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from .blocks import Axis, shift
 HZ = 50
 DT = 1.0 / HZ
 SIDES = {"left": "a", "right": "b"}
+# Component names of rotations, increments and twists.
 QUAT = ("qw", "qx", "qy", "qz")
 ROT6D = ("r00", "r10", "r20", "r01", "r11", "r21")
 DELTA = ("dx", "dy", "dz", "rx", "ry", "rz")
@@ -32,30 +32,6 @@ _ARM = ("shoulder_pitch", "shoulder_roll", "elbow_yaw", "elbow_pitch", "wrist_ro
 JOINTS = ("base_x", "base_y", "base_yaw", *(f"l_{j}" for j in _ARM), *(f"r_{j}" for j in _ARM),
           "neck_roll", "neck_pitch", "neck_yaw", "l_hand_finger", "r_hand_finger")
 
-Columns = dict[str, Column]
-
-
-@dataclass(frozen=True)
-class ModeSpec:
-    """One control view: what its numbers mean and how they are computed."""
-
-    name: str
-    frame: str
-    units: str
-    semantics: str
-    build: Callable[["Pair"], Columns]
-
-
-MODES: dict[str, ModeSpec] = {}
-
-
-def mode(name: str, frame: str, units: str, semantics: str):
-    """Register a control view; the builder returns ``{column name: expression}``."""
-    def register(build: Callable[["Pair"], Columns]):
-        MODES[name] = ModeSpec(name, frame, units, semantics, build)
-        return build
-    return register
-
 
 class Pair:
     """A state row and its successor, with intermediates projected once and shared between views."""
@@ -99,136 +75,121 @@ class Pair:
         return self.once("base_step", lambda: planar.relative(self.base(), self.base("next_")))
 
 
-def _named(prefix: str, names: Sequence[str], values: Sequence[Column]) -> Columns:
-    return {f"{prefix}{n}": v for n, v in zip(names, values)}
-
-
-def _joints(values: Callable[[int], Column]) -> Columns:
-    return {name: values(i) for i, name in enumerate(JOINTS)}
-
-
-@mode("joint_pos_abs", "joints; base in world", "m, rad", "joint values of the next row")
-def _joint_pos_abs(p: Pair) -> Columns:
-    return _joints(lambda i: F.col("next_q")[i])
+    # Quantities the views are made of, each a sequence of columns; those of a hand take its side.
 
+    def next_joints(self) -> Sequence[Column]:
+        return [F.col("next_q")[i] for i in range(len(JOINTS))]
 
-@mode("joint_pos_delta", "joints; base in world", "m, rad", "joint increments to the next row, base yaw wrapped")
-def _joint_pos_delta(p: Pair) -> Columns:
-    step = lambda i: F.col("next_q")[i] - F.col("q")[i]
-    return _joints(lambda i: planar.wrap(step(i)) if i == 2 else step(i))
+    def joint_steps(self) -> Sequence[Column]:
+        steps = [F.col("next_q")[i] - F.col("q")[i] for i in range(len(JOINTS))]
+        return [planar.wrap(c) if name == "base_yaw" else c for name, c in zip(JOINTS, steps)]
 
+    def joint_speeds(self) -> Sequence[Column]:
+        return [F.col("qd")[i] for i in range(len(JOINTS))]
 
-@mode("joint_vel", "joints; base in world", "m/s, rad/s", "joint velocities held until the next row")
-def _joint_vel(p: Pair) -> Columns:
-    return _joints(lambda i: F.col("qd")[i])
+    def hand_pose(self, side: str, at: str, frame: str, *, quaternion: bool) -> Sequence[Column]:
+        p, q = self.world(side, at) if frame == "world" else self.tcp(side, at)
+        six = self.once(f"{at}{side}_{frame}_six", lambda: rotation.six(q))
+        return (*p, *six, *(rotation.canonical(q) if quaternion else ()))
 
+    def step_in_tool(self, side: str) -> Sequence[Column]:
+        step = self.tool_step(side)
+        return (*step.p, *rotation.log(step.q))
 
-def _ee(p: Pair, of: Callable[[str], Pose]) -> Columns:
-    out: Columns = {}
-    for side in SIDES:
-        target = of(side)
-        six = p.once(f"{side}_six_{id(of)}", lambda q=target.q: rotation.six(q))
-        out |= _named(f"{side}_", ("x", "y", "z"), target.p) | _named(f"{side}_", ROT6D, six)
-        out |= _named(f"{side}_", QUAT, rotation.canonical(target.q))
-    return out
-
-
-@mode("ee_abs_base", "base at t+1", "m, rotation6d and wxyz", "TCP poses of the next row in its base frame")
-def _ee_abs_base(p: Pair) -> Columns:
-    return _ee(p, lambda side: p.tcp(side, "next_"))
-
-
-@mode("ee_abs_world", "world", "m, rotation6d and wxyz", "TCP poses of the next row in the world")
-def _ee_abs_world(p: Pair) -> Columns:
-    return _ee(p, lambda side: p.world(side, "next_"))
-
-
-@mode("ee_delta_base", "tool: current TCP; base: base link", "m, rad", "pose increments to the next row, body and base sided")
-def _ee_delta_base(p: Pair) -> Columns:
-    out: Columns = {}
-    for side in SIDES:
-        step = p.tool_step(side)
-        now, then = p.tcp(side), p.tcp(side, "next_")
-        left = p.once(f"{side}_lq0", lambda: rotation.multiply(then.q, rotation.conjugate(now.q)))
-        left = p.once(f"{side}_lq", lambda: rotation.canonical(left))
-        out |= _named(f"{side}_tool_", DELTA, (*step.p, *rotation.log(step.q)))
-        out |= _named(f"{side}_base_", DELTA, (*sub(then.p, now.p), *rotation.log(left)))
-    return out
-
-
-@mode("ee_twist_tool", "current TCP", "m/s, rad/s", "constant body twist that reaches the next TCP pose")
-def _ee_twist_tool(p: Pair) -> Columns:
-    out: Columns = {}
-    for side in SIDES:
-        step = p.tool_step(side)
-        w = p.once(f"{side}_w", lambda: rotation.log(step.q))
-        out |= _named(f"{side}_", TWIST, scale(pose.log(step.p, w), 1.0 / DT))
+    def step_in_base(self, side: str) -> Sequence[Column]:
+        now, then = self.tcp(side), self.tcp(side, "next_")
+        turn = self.once(f"{side}_lq0", lambda: rotation.multiply(then.q, rotation.conjugate(now.q)))
+        return (*sub(then.p, now.p), *rotation.log(self.once(f"{side}_lq", lambda: rotation.canonical(turn))))
+
+    def tool_twist(self, side: str) -> Sequence[Column]:
+        step = self.tool_step(side)
+        w = self.once(f"{side}_w", lambda: rotation.log(step.q))
+        return scale(pose.log(step.p, w), 1.0 / DT)
+
+    def head_turn(self) -> Sequence[Column]:
+        return rotation.six(self.once("head_turn", lambda: rotation.multiply(rotation.conjugate(self.head()), self.head("next_"))))
+
+
+#: Column names with the quantity that fills them; ``{side}`` stands for either hand.
+Part = tuple[Sequence[str], Callable[..., Sequence[Column]]]
+PLACE = ("x", "y", "z")
+
+
+def _prefixed(prefix: str, *names: str) -> tuple[str, ...]:
+    return tuple(prefix + n for n in names)
+
+
+def _hands(at: str, frame: str = "base", quaternion: bool = True) -> Part:
+    names = _prefixed("{side}_", *PLACE, *ROT6D, *(QUAT if quaternion else ()))
+    return names, lambda p, side: p.hand_pose(side, at, frame, quaternion=quaternion)
+
+
+def _head(at: str) -> Part:
+    return _prefixed("head_", *ROT6D), lambda p: rotation.six(p.head(at))
+
+
+BASE_STEP: Part = (_prefixed("base_", "dx", "dy", "dyaw"), lambda p: p.base_step())
+OPEN_OR_NOT: Part = (("{side}_gripper_open",), lambda p, side: [(F.col(f"next_open_{side[0]}") >= 0.5).cast("double")])
+
+#: The columns of every view: whole-robot joints, hands, head, base, grippers, and the agent's combination of them.
+COLUMNS: dict[str, Sequence[Part]] = {
+    "joint_pos_abs": [(JOINTS, Pair.next_joints)],
+    "joint_pos_delta": [(JOINTS, Pair.joint_steps)],
+    "joint_vel": [(JOINTS, Pair.joint_speeds)],
+    "ee_abs_base": [_hands("next_")],
+    "ee_abs_world": [_hands("next_", "world")],
+    "ee_delta_base": [(_prefixed("{side}_tool_", *DELTA) + _prefixed("{side}_base_", *DELTA), lambda p, side: (*p.step_in_tool(side), *p.step_in_base(side)))],
+    "ee_twist_tool": [(_prefixed("{side}_", *TWIST), Pair.tool_twist)],
+    "head_rot_abs": [_head("next_")],
+    "head_rot_delta": [(_prefixed("head_d", *ROT6D), Pair.head_turn)],
+    "base_twist_body": [(_prefixed("base_", "vx", "vy", "wz"), lambda p: planar.log(p.base_step(), DT))],
+    "base_se2_delta": [BASE_STEP],
+    "gripper_continuous": [(("{side}_gripper_opening",), lambda p, side: [F.col(f"next_open_{side[0]}")])],
+    "gripper_binary": [OPEN_OR_NOT],
+    "agent_v8": [_hands("next_", quaternion=False), _head("next_"), BASE_STEP, OPEN_OR_NOT],
+    "agent_v8_state": [_hands("", quaternion=False), _head(""), (_prefixed("base_world_", "x", "y", "sin_yaw", "cos_yaw"), lambda p: [F.col("x"), F.col("y"), F.sin("yaw"), F.cos("yaw")]),
+                       (("{side}_gripper_opening",), lambda p, side: [F.col(f"open_{side[0]}")])],
+}
+
+#: What the numbers mean: frame, units, and the rule in words.
+MEANING = {
+    "joint_pos_abs": ("joints; base in world", "m, rad", "joint values of the next row"),
+    "joint_pos_delta": ("joints; base in world", "m, rad", "joint increments to the next row, base yaw wrapped"),
+    "joint_vel": ("joints; base in world", "m/s, rad/s", "joint velocities held until the next row"),
+    "ee_abs_base": ("base at t+1", "m, rotation6d and wxyz", "TCP poses of the next row in its base frame"),
+    "ee_abs_world": ("world", "m, rotation6d and wxyz", "TCP poses of the next row in the world"),
+    "ee_delta_base": ("tool: current TCP; base: base link", "m, rad", "pose increments to the next row, body and base sided"),
+    "ee_twist_tool": ("current TCP", "m/s, rad/s", "constant body twist that reaches the next TCP pose"),
+    "head_rot_abs": ("base at t+1", "rotation6d", "head orientation of the next row"),
+    "head_rot_delta": ("current head", "rotation6d", "head turn to the next row"),
+    "base_twist_body": ("base at t", "m/s, rad/s", "constant body twist that reaches the next base pose"),
+    "base_se2_delta": ("base at t", "m, rad", "base displacement to the next row"),
+    "gripper_continuous": ("gripper", "opening in [0, 1]", "openings of the next row"),
+    "gripper_binary": ("gripper", "0 or 1", "1 when the next row's opening is at least one half"),
+    "agent_v8": ("TCP and head: base at t+1; base: base at t", "m, rotation6d, 0/1; float32", "29 action values: TCP poses, head, base displacement, binary grippers"),
+    "agent_v8_state": ("TCP and head: base at t; base: world", "m, rotation6d, sin/cos; float32", "30 state values of every row, the last one included"),
+}
+MODES = tuple(COLUMNS)
+#: Views whose values are single precision, and views that have a value in the last row too.
+FLOAT_VIEWS, STATE_VIEWS = ("agent_v8", "agent_v8_state"), ("agent_v8_state",)
+
+
+def _filled(pair: Pair, parts: Sequence[Part]) -> dict[str, Column]:
+    out: dict[str, Column] = {}
+    for names, quantity in parts:
+        if "{side}" in names[0]:
+            for side in SIDES:
+                out.update(zip((n.format(side=side) for n in names), quantity(pair, side)))
+        else:
+            out.update(zip(names, quantity(pair)))
     return out
 
 
-@mode("head_rot_abs", "base at t+1", "rotation6d", "head orientation of the next row")
-def _head_rot_abs(p: Pair) -> Columns:
-    return _named("head_", ROT6D, rotation.six(p.head("next_")))
-
-
-@mode("head_rot_delta", "current head", "rotation6d", "head turn to the next row")
-def _head_rot_delta(p: Pair) -> Columns:
-    turn = p.once("head_turn", lambda: rotation.multiply(rotation.conjugate(p.head()), p.head("next_")))
-    return _named("head_d", ROT6D, rotation.six(turn))
-
-
-@mode("base_twist_body", "base at t", "m/s, rad/s", "constant body twist that reaches the next base pose")
-def _base_twist_body(p: Pair) -> Columns:
-    return _named("base_", ("vx", "vy", "wz"), planar.log(p.base_step(), DT))
-
-
-@mode("base_se2_delta", "base at t", "m, rad", "base displacement to the next row")
-def _base_se2_delta(p: Pair) -> Columns:
-    return _named("base_", ("dx", "dy", "dyaw"), p.base_step())
-
-
-@mode("gripper_continuous", "gripper", "opening in [0, 1]", "openings of the next row")
-def _gripper_continuous(p: Pair) -> Columns:
-    return {"left_gripper_opening": F.col("next_open_l"), "right_gripper_opening": F.col("next_open_r")}
-
-
-@mode("gripper_binary", "gripper", "0 or 1", "1 when the next row's opening is at least one half")
-def _gripper_binary(p: Pair) -> Columns:
-    return {f"{s}_gripper_open": (F.col(f"next_open_{s[0]}") >= 0.5).cast("double") for s in SIDES}
-
-
-def _agent(p: Pair, at: str) -> Columns:
-    out: Columns = {}
-    for side in SIDES:
-        target = p.tcp(side, at)
-        out |= _named(f"{side}_", ("x", "y", "z"), target.p) | _named(f"{side}_", ROT6D, rotation.six(target.q))
-    return out | _named("head_", ROT6D, rotation.six(p.head(at)))
-
-
-def _float(values: Columns) -> Columns:
-    return {n: v.cast("float") for n, v in values.items()}
-
-
-@mode("agent_v8", "TCP and head: base at t+1; base: base at t", "m, rotation6d, 0/1; float32",
-      "29 action values: TCP poses, head, base displacement, binary grippers")
-def _agent_v8(p: Pair) -> Columns:
-    return _float(_agent(p, "next_") | _base_se2_delta(p) | _gripper_binary(p))
-
-
-@mode("agent_v8_state", "TCP and head: base at t; base: world", "m, rotation6d, sin/cos; float32",
-      "30 state values of every row, the last one included")
-def _agent_v8_state(p: Pair) -> Columns:
-    world = {"base_world_x": F.col("x"), "base_world_y": F.col("y"), "base_world_sin_yaw": F.sin("yaw"), "base_world_cos_yaw": F.cos("yaw")}
-    return _float(_agent(p, "") | world | {f"{s}_gripper_opening": F.col(f"open_{s[0]}") for s in SIDES})
-
-
-STATE_VIEWS = ("agent_v8_state",)
-
-
 def view(df: DataFrame, name: str, axis: Axis) -> DataFrame:
     """One control view as a table: keys, row and the view's columns (units and meaning as column metadata)."""
-    spec, pair = MODES[name], Pair(df, axis)
-    made = spec.build(pair)
+    pair = Pair(df, axis)
+    made = _filled(pair, COLUMNS[name])
     out = pair.sheet.df if name in STATE_VIEWS else pair.sheet.df.where(F.col("next_q").isNotNull())
-    about = {"mode": spec.name, "frame": spec.frame, "units": spec.units, "semantics": spec.semantics}
-    return out.select(*axis.keys, axis.order, *[c.alias(n, metadata=about) for n, c in made.items()])
+    about = dict(zip(("mode", "frame", "units", "semantics"), (name, *MEANING[name])))
+    cast = "float" if name in FLOAT_VIEWS else "double"
+    return out.select(*axis.keys, axis.order, *[c.cast(cast).alias(n, metadata=about) for n, c in made.items()])
