@@ -229,7 +229,7 @@ def test_rate_limit_over_blocks_is_the_sequential_clamp(spark, reverse):
 def _stages(spark, events, rows=100, tail=0.35):
     from trajlake.operators.folds import Thresholds, stage_cuts
     events = spark.createDataFrame([(1, *e) for e in events], "episode long, part string, start long, stop long")
-    activity = spark.range(rows).select(F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("episode"), F.col("id").alias("row"), (F.col("id") * 0.1).alias("t"), F.lit(0.0).alias("activity"))
+    activity = spark.range(rows).select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("episode"), F.col("id").alias("row"), (F.col("id") * 0.1).alias("t"), F.lit(0.0).alias("activity"))
     got = stage_cuts(events, activity, "t", AXIS, Thresholds(tail=tail)).orderBy("episode", "stage").collect()
     return [[r.stop for r in got if r.episode == e] for e in (1, 2)]
 
