@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trajlake.llm import katz, line_dedup, minhash_dedup, packing, piece_sampling, toxicity, training_order
 from trajlake.llm.exact_dedup import exact_dedup
@@ -136,6 +137,41 @@ def test_line_dedup(spark, docs, texts, odd):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_lines_are_similar_in_every_window(spark):
+    """Lines of equal beginnings or without spaces, against all windows of all pairs."""
+    same = ["https://example.org/a/very/long/path/page-0001.html?from=list", "\u6211\u4eec\u4eca\u5929\u5728\u5b66\u6821\u91cc\u5b66\u4e60\u6c49\u8bed\u548c\u6570\u5b66\u8bfe\u7a0b"]
+    kinds = ["isbn 9781234567890", "isbn 9781234561111", same[0], same[0].replace("list", "lisu"), "https://example.org/other", same[1], same[1][:9] + "\u8001\u5e08\u8bf4\u660e\u5929\u4e0d\u4e0a\u8bfe", same[1] + "\u3002",
+             "\U0001d518" * 3 + "abcdefghijklmnop", "\U0001d518" * 3 + "abcdefgzyxwvutsr", "abcdefghij", "abcdefghik"]
+    sets = [{n[i:i + 9] for i in range(len(n) - 8)} for n in kinds]
+    links = [(a, b) for b, s in enumerate(sets) for a in range(b) if 100 * len(s & sets[a]) >= 80 * len(s | sets[a])]
+    part = unite(links, range(len(kinds)))
+    rows = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.dropped for r in line_dedup.line_report(rows).collect()}
+    assert links == [(2, 3), (5, 7)] and got == {i: [] if part[i] == i else [0] for i in part}
+    assert [r.n for r in rows.select("doc_id", F.array_distinct(line_dedup.shingles(F.col("text"))).alias("n")).orderBy("doc_id").collect()] == [list(dict.fromkeys(n[i:i + 9] for i in range(len(n) - 8))) for n in kinds]
+    assert rows.limit(1).select(line_dedup.shingles(F.lit("short")).alias("n")).first().n == ["short"]
+
+
+def test_line_dedup_in_every_window(spark, docs, texts):
+    """The documents against brute force over every nine-character window of a line."""
+    found = [(i, at, n) for i, t in sorted(texts) for n, at in lines_of(t)]
+    kinds = sorted({n for *_, n in found})
+    sets = [frozenset(n[i:i + 9] for i in range(len(n) - 8)) for n in kinds]
+    owners, links = defaultdict(list), []
+    for b, s in enumerate(sets):
+        common = Counter(a for g in s for a in owners[g])
+        links += [(a, b) for a, k in common.items() if 100 * k >= 80 * (len(s) + len(sets[a]) - k)]
+        for g in s:
+            owners[g].append(b)
+    part, number = unite(links, range(len(kinds))), {n: i for i, n in enumerate(kinds)}
+    first, dropped = set(), defaultdict(set)
+    for i, at, n in found:
+        dropped[i] |= {at} if part[number[n]] in first else set()
+        first.add(part[number[n]])
+    report = {r.doc_id: set(r.dropped) for r in line_dedup.line_report(docs).collect()}
+    assert report == {i: dropped[i] for i, _ in texts} and any(dropped.values()) and links
+
+
 def test_katz_scores(docs, texts, odd):
     train = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 7 != 2}
     words = {i: (t or "").encode().lower().split() + [b"</s>"] for i, t in texts}
