@@ -33,6 +33,14 @@ def test_query_equals_its_sql(spark, small, oracle, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(cur.fetchall(), columns)
 
 
+def test_placed_drops_of_every_object_equal_their_sql(spark, small, oracle):
+    df = entry.queries()["lb18_placed_drops"](spark, small)
+    cur = oracle.execute(entry.oracle_sql()["lb18_placed_drops"])
+    columns = [d[0] for d in cur.description]
+    rows = df.collect()
+    assert plain([tuple(r) for r in rows], df.columns) == plain(cur.fetchall(), columns) and {r.object for r in rows} > {"click"}
+
+
 def test_every_query_has_sql_or_a_reason():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 150

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import paths as T
 from ..operators import sequence as S
+from ..operators.blocks import Axis
 from ..operators.lineage import cut
 from ..sources import landing as L
 from . import sqlkit as K
@@ -13,6 +14,8 @@ from .registry import query, r6
 from .sequences import islands
 from .sqlbase import FRAMES, OBJECT_FRAMES, with_
 
+#: The frames of every object of an episode.
+OBJECT_ROWS = Axis(("episode", "object"), L.FRAMES.order, L.FRAMES.span)
 HELD = islands("frames", "CASE WHEN closed THEN 1 END", "min(t) AS t0, max(t) AS t1", name="hd")
 
 
@@ -61,13 +64,30 @@ def _(spark, d):
     return T.approach_width(cut(f), p, F.col("label"), L.FRAMES, near=0.12, clearance=0.008).select("episode", "row", r6("width").alias("width"))
 
 
-@query("lb18_placed_drops", "LB18")
+def _still(near: str) -> str:
+    gap = " + ".join(f"({near}({c}) OVER v - {c})*({near}({c}) OVER v - {c})" for c in ("px", "py", "pz"))
+    return f"coalesce(NOT (valid AND {near}(valid) OVER v) OR sqrt({gap}) / nullif(abs({near}(t) OVER v - t), 0) < 0.2, true)"
+
+
+@query("lb18_placed_drops", "LB18", sql=with_(OBJECT_FRAMES, HELD + f""",
+o AS (SELECT episode, object, row, t, closed, valid, px, py, pz, px - x AS rx, py - y AS ry, row / 40.0::DOUBLE AS angle, {_still("lag")} AND {_still("lead")} AS still
+   FROM object_frames WINDOW v AS (PARTITION BY episode, object ORDER BY row)),
+sg AS (SELECT episode, stop, lead(start) OVER (PARTITION BY episode ORDER BY start) AS until FROM hd),
+ls AS (SELECT o.episode, o.object, s.stop, s.until, o.t AS lo, o.t + 2.0 + 1e-9 AS hi, o.rx AS rx0, o.ry AS ry0, o.angle AS angle0 FROM sg s JOIN o ON o.episode = s.episode AND o.row = s.stop - 1),
+rw AS (SELECT o.*, l.stop, sqrt((rx - rx0)*(rx - rx0) + (ry - ry0)*(ry - ry0)) AS fallen, abs(angle - angle0) AS turn, min(CASE WHEN NOT valid THEN row END) OVER (PARTITION BY l.episode, l.object, l.stop) AS bad
+   FROM ls l JOIN o ON o.episode = l.episode AND o.object = l.object AND o.row >= l.stop AND o.t BETWEEN l.lo AND l.hi AND o.closed IS NOT TRUE AND (l.until IS NULL OR o.row < l.until)),
+ok AS (SELECT * FROM rw WHERE bad IS NULL OR row < bad),
+z AS (SELECT * FROM ok WHERE fallen > 0.02 AND still QUALIFY row_number() OVER (PARTITION BY episode, object, stop ORDER BY row) = 1),
+e AS (SELECT k.episode, k.object, k.stop, k.row, k.turn, z.fallen AS "drop" FROM ok k JOIN z ON z.episode = k.episode AND z.object = k.object AND z.stop = k.stop AND k.row <= z.row
+   WHERE sqrt((k.px - z.px)*(k.px - z.px) + (k.py - z.py)*(k.py - z.py) + (k.pz - z.pz)*(k.pz - z.pz)) <= 0.02 AND abs(k.angle - z.angle) <= 0.1
+   QUALIFY row_number() OVER (PARTITION BY k.episode, k.object, k.stop ORDER BY k.row) = 1)
+SELECT episode, object, stop, row + 1 AS new_stop, round("drop", 6) + 0.0 AS "drop", round(turn, 6) + 0.0 AS turn FROM e WHERE "drop" <= 0.4 AND turn <= 0.35"""))
 def _(spark, d):
-    o = L.object_frames(spark, d).where(F.col("object") == "click")
-    o = cut(o.select("episode", "row", "t", "closed", "valid", "px", "py", "pz", (F.col("px") - F.col("x")).alias("rx"), (F.col("py") - F.col("y")).alias("ry"), (F.col("row") / 40.0).alias("angle")))
-    out = T.placed_drops(o, F.col("closed"), "t", L.FRAMES, place=["px", "py", "pz"], inside=["rx", "ry"], turn="angle", span=1.0, longest=2.0, min_drop=0.02, max_drop=0.4,
+    o = L.object_frames(spark, d)
+    o = cut(o.select("episode", "object", "row", "t", "closed", "valid", "px", "py", "pz", (F.col("px") - F.col("x")).alias("rx"), (F.col("py") - F.col("y")).alias("ry"), (F.col("row") / 40.0).alias("angle")))
+    out = T.placed_drops(o, F.col("closed"), "t", OBJECT_ROWS, place=["px", "py", "pz"], inside=["rx", "ry"], turn="angle", span=1.0, longest=2.0, min_drop=0.02, max_drop=0.4,
                          max_turn=0.35, rest_speed=0.2, rest_turn=0.1)
-    return out.select("episode", "stop", "new_stop", r6("drop").alias("drop"), r6("turn").alias("turn"))
+    return out.select("episode", "object", "stop", "new_stop", r6("drop").alias("drop"), r6("turn").alias("turn"))
 
 
 @query("lb13_object_centric_path", "LB13", "FN-R7", "FN-R14")
