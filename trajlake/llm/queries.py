@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversation_repair import repaired_conversations
 from .exact_dedup import exact_dedup
 from .katz import katz_scores
 from .line_dedup import line_report
@@ -93,3 +94,45 @@ def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = training_order(table(spark, sf_dir, "documents"))
     return out.select("slot", "shard", "doc_id", "sequence", "length", F.crc32("ids").alias("ids_crc32"))
+
+
+def _step(x: str, cost: str, letter: str) -> str:
+    """SQL: a prefix ``cost in nine digits || audit`` with one more edit; null stays null."""
+    return f"(printf('%09d', CAST(substr({x}, 1, 9) AS BIGINT) + {cost}) || substr({x}, 10) || {letter})"
+
+
+def _edits_sql() -> str:
+    """SQL: the cheapest prefix per state of a conversation (start, system, user, assistant), turn by turn over ``kinds``."""
+    keep = "CASE WHEN k <> lower(k) THEN 5 ELSE 0 END"
+    gone, write = (lambda i: _step(f"b[{i}]", "2", "'D'")), (lambda i: f"CASE WHEN k <> 'x' THEN {_step(f'b[{i}]', f'1 + {keep}', chr(39) + 'R' + chr(39))} END")
+    stay = lambda i, c: f"CASE WHEN lower(k) = '{c}' THEN {_step(f'b[{i}]', keep, chr(39) + 'K' + chr(39))} END"
+    rows = [gone(1), f"least({gone(2)}, {stay(1, 's')})", f"least({', '.join([gone(3), *(f(i) for i in (1, 2, 4) for f in (write, lambda i: stay(i, 'u')))])})", f"least({gone(4)}, {write(3)}, {stay(3, 'a')})"]
+    insert = lambda x, n=1: _step(x, str(5 * n), f"'{'I' * n}'")
+    close = lambda y: f"list_transform([{y}], lambda y: [y[1], y[2], least(y[3], {insert('y[1]')}, {insert('y[2]')}, {insert('y[4]')}), least(y[4], {insert('y[3]')}, {insert('y[1]', 2)}, {insert('y[2]', 2)})])[1]"
+    return f"list_reduce(kinds, lambda b, k: {close('[' + ', '.join(rows) + ']')}, {close('[repeat(chr(48), 9), NULL, NULL, NULL]')})"
+
+
+@query("op12_conversation_repair", sql=rf"""
+WITH keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+faulty AS (SELECT *, xor(list_reduce(list_transform(range(length(k)), lambda i: CAST(ascii(k[i + 1]) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295), 4294967295) % 20 AS fault FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT *, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) FROM faulty WHERE fault <> 0)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(sha256(text), 1, 32)) AS n FROM damaged),
+marked AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut,
+           lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) || substr(role, 1, 1) AS pair FROM ordered),
+kinds AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+          count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+          list(CASE WHEN blank OR again THEN 'x' WHEN cut THEN upper(kind) ELSE kind END ORDER BY n) AS kinds
+          FROM (SELECT *, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'o' END AS kind FROM marked) GROUP BY conv_id),
+solved AS (SELECT * EXCLUDE (kinds, b), CAST(substr(least(b[1], b[4]), 1, 9) AS BIGINT) AS cost, substr(least(b[1], b[4]), 10) AS audit FROM (SELECT *, {_edits_sql()} AS b FROM kinds)),
+letters AS (SELECT conv_id, i, substr(audit, i, 1) AS edit FROM (SELECT conv_id, audit, CAST(unnest(range(1, length(audit) + 1)) AS BIGINT) AS i FROM solved)),
+placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS n FROM letters),
+kept AS (SELECT p.conv_id, p.i, p.edit, o.role, CASE WHEN p.edit = 'I' THEN '' ELSE o.text END AS text, row_number() OVER (PARTITION BY p.conv_id ORDER BY p.i) AS j
+         FROM placed p LEFT JOIN ordered o ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.n = o.n WHERE p.edit <> 'D'),
+shifted AS (SELECT *, (j + first_value(CASE WHEN edit = 'K' AND substr(role, 1, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY j)) % 2 AS odd FROM kept),
+hashes AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN odd = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS repaired_sha256 FROM shifted GROUP BY conv_id)
+SELECT c.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+       coalesce(s.cost, 0) AS cost, coalesce(s.audit, '') AS audit, coalesce(h.repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN solved s ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN hashes h ON c.conv_id IS NOT DISTINCT FROM h.conv_id""")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
