@@ -50,7 +50,8 @@ class Aligner:
         # No piece joins a letter with a space behind it, so what begins with spaces is encoded on its own.
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for i, p in enumerate(text) if not self.model.is_byte(i))
         self.chunk = re.compile(" +[^ ]*")
-        self.chunks: dict[str, bytes] = {}
+        self.lone = np.array([self.model.piece_to_id(SPACE)], dtype="<u2").tobytes()
+        self.chunks: dict[str, bytes] = {" ": self.lone}
 
     @staticmethod
     def _byte_level(tokenizer) -> list[bytes]:
@@ -83,7 +84,8 @@ class Aligner:
             new = [p for p in dict.fromkeys(parts) if p not in known]
             if len(known) + len(new) > CHUNKS:
                 known.clear()
-                new = list(dict.fromkeys(parts))
+                known[" "] = self.lone  # alone it would be the empty text
+                new = [p for p in dict.fromkeys(parts) if p not in known]
             for at in range(0, len(new), 5000):
                 some = new[at:at + 5000]
                 for p, ids in zip(some, self.model.encode([p[1:] for p in some], num_threads=1)):
