@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .katz import katz_scores
 from .line_dedup import line_report
 from .minhash_dedup import minhash_dedup
+from .ngram_join import ngram_join
 from .packing import pack
 from .piece_sampling import sample_segmentations
 from .token_alignment import align_tokenizers
@@ -144,3 +145,18 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"))[0]
+
+
+@query("op11_ngram_join", sql=r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g FROM t),
+c AS (SELECT row_number() OVER () AS c, g, len(g) AS n FROM (SELECT DISTINCT g FROM s WHERE len(g) > 0)),
+e AS (SELECT c, n, unnest(g) AS x FROM c),
+links AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(c, o) AS (SELECT c, c FROM c UNION SELECT reach.c, both.b FROM reach JOIN both ON reach.o = both.a),
+low AS (SELECT reach.c, min(o.id) AS component_id FROM reach JOIN (SELECT c.c, min(doc_id) AS id FROM c JOIN s USING (g) GROUP BY c.c) o ON reach.o = o.c GROUP BY reach.c)
+SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(low.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN low ON low.c = c.c""")
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
