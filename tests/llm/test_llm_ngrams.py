@@ -65,7 +65,7 @@ def test_similar_sets_share_a_signature(n):
 
 def test_bands_adjoin():
     for similar in (60, 80, 85, 95):
-        found = join.bands(similar, 5000)
+        found = join.bands(similar, 7000)
         assert found[0][0] == 1 and all(b[0] == a[1] + 1 for a, b in zip(found, found[1:]))
         at = {n: i for i, (x, y) in enumerate(found) for n in range(x, y + 1)}
         assert all(at[100 * n // similar] - at[n] <= 1 for n in range(1, 4000))

@@ -233,7 +233,9 @@ def _cells(left: DataFrame, right: DataFrame, key: str, grid: DataFrame, nodes:
     copy = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one = left.join(grid, key).select(F.col(key).alias("key"), "node", "mine", deal("rows").alias("r"), copy("columns").alias("c"))
     two = right.join(grid, key).select(F.col(key).alias("key"), "node", "component", deal("columns").alias("c"), copy("rows").alias("r"))
-    one, two = (x.join(nodes, "node") for x in (one, two))
+    fresh = lambda df, *names: df.select(*(F.col(n).alias(n) for n in names))
+    one = fresh(one.join(fresh(nodes, "node", "features"), "node"), "key", "r", "c", "node", "mine", "features")
+    two = fresh(two.join(fresh(nodes, "node", "features"), "node"), "key", "r", "c", "node", "component", "features")
     return staged(one.groupBy("key", "r", "c").cogroup(two.groupBy("key", "r", "c")).applyInPandas(ask, "a long, b long"), "links")
 
 
