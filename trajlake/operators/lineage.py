@@ -2,8 +2,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -23,7 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An intermediate that several later branches read, computed once when the first of them runs.
+    """An intermediate that several later branches read: written once below the shared folder and read back.
 
-    It stays with the executors, in memory or on their disks; what a lost executor held is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    Plans behind it start from a scan, so neither their size nor their analysis grows with what led there, nothing stays
+    cached in the session, and a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/part-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
