@@ -71,6 +71,25 @@ def test_bands_adjoin():
         assert all(at[100 * n // similar] - at[n] <= 1 for n in range(1, 4000))
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900), dtype=np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[:rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(0, 200), dtype=np.uint64)]))
+        if len(b):
+            assert join.sketch_distance(join.sketch(a, 85), join.sketch(b, 85)) <= len(np.setxor1d(a, b))
+
+
+def test_features_are_those_of_words():
+    for size in (1, 2, 4):
+        tool = join.Grams(size)
+        texts = ["", None, " \t", "a", "A b", "a b c d e a b c d e", "ab c", "a bc", "É é É é x y", "b a", "x\x1cy z w", "w " * 3000 + "end", "\U0001d518 漢字 a\u3000b c d"]
+        for x in texts:
+            assert len(tool.features(x)) == len(grams(x, size))
+            for y in texts:
+                assert len(np.intersect1d(tool.features(x), tool.features(y))) == len(grams(x, size) & grams(y, size)), (x, y)
+
+
 def test_overlaps():
     rng = np.random.default_rng(4)
     left, right = ([np.unique(rng.integers(0, 60, rng.integers(1, 40), dtype=np.uint64)) for _ in range(n)] for n in (17, 9))

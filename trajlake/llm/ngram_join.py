@@ -5,12 +5,11 @@ import hashlib
 from itertools import combinations
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 from .graph import asking_pairs, components
-from .minhash_dedup import _shingles
 
 SIZE, SIMILAR, SALTS = 4, 85, 32
 #: Sets up to this difference have one part with its subparts enumerated in pairs; beyond it parts are two or three subparts each.
@@ -93,38 +92,120 @@ class Signatures:
 _OPEN: dict[int, Signatures] = {}
 
 
-def features_of(tool, text: str | None):
-    """The distinct n-grams of a text as sorted 64-bit hashes; a text with fewer words is one n-gram of them all."""
+class Grams:
+    """Word n-grams of a text as 64-bit hashes.
+
+    A word's hash is a polynomial over random values of its bytes, taken from running sums over the text, so that a text is
+    hashed in a few passes over arrays. An n-gram mixes its words' hashes by position."""
+
+    def __init__(self, size: int):
+        import numpy as np
+        self.np, self.size = np, size
+        rng = np.random.default_rng(20240229)
+        value = rng.integers(1, 2**63, 256, dtype=np.uint64)
+        value[65:91] = value[97:123]  # A-Z count as a-z
+        self.value, self.space = value, np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+        self.base, self.places = int(rng.integers(1, 2**62)) * 2 + 1, rng.integers(1, 2**62, max(size, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.inverse = pow(self.base, -1, 2**64)
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
+
+    def _reach(self, n: int) -> None:
+        np = self.np
+        while len(self.powers) < n:
+            at = len(self.powers)
+            self.powers = np.concatenate([self.powers, self.powers * np.uint64(pow(self.base, at, 2**64))])
+            self.inverses = np.concatenate([self.inverses, self.inverses * np.uint64(pow(self.inverse, at, 2**64))])
+
+    @staticmethod
+    def mix(x):
+        import numpy as np
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def words(self, text: str | None):
+        np = self.np
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        inside = np.concatenate([[False], ~self.space[raw], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edges[::2], edges[1::2]
+        self._reach(len(raw) + 1)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.value[raw] * self.powers[:len(raw)], dtype=np.uint64)])
+        return self.mix((sums[end] - sums[begin]) * self.inverses[begin] + (end - begin).astype(np.uint64))
+
+    def features(self, text: str | None):
+        """The distinct n-grams, sorted; a text with fewer words is one n-gram of them all."""
+        np, words = self.np, self.words(text)
+        if not len(words):
+            return words
+        n = min(self.size, len(words))
+        total = np.full(len(words) - n + 1, n, dtype=np.uint64)
+        for i in range(n):
+            total += words[i:len(words) - n + 1 + i] * self.places[i]
+        return np.unique(self.mix(total))
+
+
+def difference(a: int, b: int, similar: int) -> int:
+    """How many features similar sets of these sizes differ in at most."""
+    return (a + b) * (100 - similar) // (100 + similar)
+
+
+def sketch_bits(n: int, similar: int) -> int:
+    return 1 << max(6, (4 * difference(n, n, similar)).bit_length())
+
+
+def sketch(features, similar: int) -> bytes:
+    """Parities of the features that fall on each bit: sketches of two sets differ in no more bits than the sets in features."""
     import numpy as np
-    ids = tool.words(text)
-    if not len(ids):
-        return np.zeros(0, dtype=np.uint64)
-    if len(ids) < tool.size:
-        rows = np.concatenate([ids, np.full(tool.size - len(ids), -1)])[None, :]
-    else:
-        rows = np.lib.stride_tricks.sliding_window_view(ids, tool.size)
-    return np.unique(tool.hashed(rows))
+    bits = sketch_bits(len(features), similar)
+    count = np.bincount((features >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(count.astype(np.uint8), bitorder="little").tobytes()
+
 
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer folded to the length of the shorter."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = 8 * len(a), 8 * len(b)
+    while n != m:
+        if n > m:
+            n //= 2
+            x = (x >> n) ^ (x & ((1 << n) - 1))
+        else:
+            m //= 2
+            y = (y >> m) ^ (y & ((1 << m) - 1))
+    return (x ^ y).bit_count()
 
-def _read(size: int):
+
+_GRAMS: dict[int, Grams] = {}
+
+
+def _grams(size: int) -> Grams:
+    if size not in _GRAMS:
+        _GRAMS[size] = Grams(size)
+    return _GRAMS[size]
+
+
+def _read(size: int, similar: int):
     def read(batches):
         import numpy as np
         import pyarrow as pa
 
-        tool, base, row, seen = _shingles(size), TaskContext.get().partitionId() << 40, 0, set()
+        tool, base, row, seen = _grams(size), TaskContext.get().partitionId() << 40, 0, set()
         for batch in batches:
-            counts, keys, first = [], [], []
+            counts, keys, first, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
-                features = features_of(tool, text)
+                features = tool.features(text)
                 counts.append(len(features))
                 keys.append(hashlib.blake2b(features.tobytes(), digest_size=16).digest() if len(features) else None)
                 first.append(len(features) > 0 and keys[-1] not in seen)
+                sketches.append(sketch(features, similar) if first[-1] else None)
                 seen.add(keys[-1])
             if len(seen) > SEEN:
                 seen.clear()
             rows = np.arange(base + row, base + row + len(counts))
             row += len(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.bool_()), batch.column("text")], names=["row", "id", "n_shingles", "key", "first", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.bool_()), pa.array(sketches, pa.binary()), batch.column("text")],
+                                             names=["row", "id", "n_shingles", "key", "first", "sketch", "text"])
     return read
 
 
@@ -133,28 +214,39 @@ def _sign(size: int, similar: int):
         import numpy as np
         import pyarrow as pa
 
-        tool = _shingles(size)
-        signer = _OPEN.setdefault(similar, Signatures(similar))
+        tool, signer = _grams(size), _OPEN.setdefault(similar, Signatures(similar))
         for batch in batches:
-            found, owners = [], []
+            found, owners, held = [], [], 0
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                found.append(signer.of(features_of(tool, text)))
+                found.append(signer.of(tool.features(text)))
                 owners.append(np.full(len(found[-1]), node))
-                if sum(map(len, found)) > 500_000:
+                held += len(found[-1])
+                if held > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owners))], names=["bucket", "node"])
-                    found, owners = [], []
+                    found, owners, held = [], [], 0
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owners))], names=["bucket", "node"])
     return sign
 
 
+def _close(similar: int):
+    def close(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [100 * min(n, m) >= similar * max(n, m) and sketch_distance(x, y) <= difference(n, m, similar)
+                    for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return close
+
+
 def _sets(size: int):
     def sets(batches):
         import pyarrow as pa
 
-        tool = _shingles(size)
+        tool = _grams(size)
         for batch in batches:
-            found = pa.array([features_of(tool, t).astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            found = pa.array([tool.features(t).astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), found], names=["node", "features"])
     return sets
 
@@ -219,40 +311,61 @@ def _ask(similar: int, ordered: bool):
     return ask
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
-    """The pairs whose full sets are similar. The set of ``a``, a leader of many, goes once to every (a, salt)."""
-    spread = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    ends = spread.select("a", "salt").distinct().join(nodes.select(F.col("node").alias("a"), F.col("features").alias("features_a")), "a")
-    both = spread.join(nodes.select(F.col("node").alias("b"), F.col("features").alias("features_b")), "b").join(ends, ["a", "salt"])
-    return staged(both.select("a", "b", "features_a", "features_b").mapInArrow(_verify(similar), "a long, b long"), "links")
-
-
-def _cells(left: DataFrame, right: DataFrame, key: str, grid: DataFrame, nodes: DataFrame, ask) -> DataFrame:
-    """Every left row of a key meets every right row of it in one cell of the key's ``grid(key, rows, columns)``."""
-    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    copy = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one = left.join(grid, key).select(F.col(key).alias("key"), "node", "mine", deal("rows").alias("r"), copy("columns").alias("c"))
-    two = right.join(grid, key).select(F.col(key).alias("key"), "node", "component", deal("columns").alias("c"), copy("rows").alias("r"))
-    fresh = lambda df, *names: df.select(*(F.col(n).alias(n) for n in names))
-    one = fresh(one.join(fresh(nodes, "node", "features"), "node"), "key", "r", "c", "node", "mine", "features")
-    two = fresh(two.join(fresh(nodes, "node", "features"), "node"), "key", "r", "c", "node", "component", "features")
-    return staged(one.groupBy("key", "r", "c").cogroup(two.groupBy("key", "r", "c")).applyInPandas(ask, "a long, b long"), "links")
-
-
-def _remaining(buckets: DataFrame, parts: DataFrame, tried: DataFrame, nodes: DataFrame, similar: int, small: int, tiny: int, cell: int) -> DataFrame:
+class _Nodes:
+    """Nodes by number: sizes and sketches of all, full sets of those asked for."""
+
+    def __init__(self, kinds: DataFrame, size: int, similar: int):
+        self.kinds, self.size, self.similar = kinds, size, similar
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``node, features`` for the distinct ``wanted(node)``; a written table, so a small one is broadcast and no text is shuffled."""
+        texts = self.kinds.select("node", "text").join(staged(wanted.select("node").distinct(), "wanted"), "node")
+        return staged(texts.mapInArrow(_sets(self.size), "node long, features binary"), "sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs(a, b)`` whose full sets are similar. Sketches go first: a pair whose sketches differ in more bits than
+        similar sets may differ in features is none. The set of ``a``, a leader of many, goes once to every (a, salt)."""
+        short = lambda x: self.kinds.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+
+        def with_ends(rows: DataFrame, end_a: DataFrame, end_b: DataFrame) -> DataFrame:
+            rows = salted(rows)
+            return rows.join(end_b, "b").join(rows.select("a", "salt").distinct().join(end_a, "a"), ["a", "salt"])
+
+        both = with_ends(pairs, short("a"), short("b")).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        close = staged(both.mapInArrow(_close(self.similar), "a long, b long"), "close")
+        sets = self.sets(close.select(F.explode(F.array("a", "b")).alias("node")))
+        full = lambda x: sets.select(F.col("node").alias(x), F.col("features").alias(f"features_{x}"))
+        both = with_ends(close, full("a"), full("b")).select("a", "b", "features_a", "features_b")
+        return staged(both.mapInArrow(_verify(self.similar), "a long, b long"), "links")
+
+    def cells(self, left: DataFrame, right: DataFrame, key: str, grid: DataFrame, ask) -> DataFrame:
+        """Every left row of a key meets every right row of it in one cell of the key's ``grid(key, rows, columns)``."""
+        deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+        copy = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        one = left.join(grid, key).select(F.col(key).alias("key"), "node", "mine", deal("rows").alias("r"), copy("columns").alias("c"))
+        two = right.join(grid, key).select(F.col(key).alias("key"), "node", "component", deal("columns").alias("c"), copy("rows").alias("r"))
+        sets = self.sets(one.select("node").unionByName(two.select("node")))
+        fresh = lambda df, *names: df.select(*(F.col(n).alias(n) for n in names))
+        one = fresh(one.join(fresh(sets, "node", "features"), "node"), "key", "r", "c", "node", "mine", "features")
+        two = fresh(two.join(fresh(sets, "node", "features"), "node"), "key", "r", "c", "node", "component", "features")
+        return staged(one.groupBy("key", "r", "c").cogroup(two.groupBy("key", "r", "c")).applyInPandas(ask, "a long, b long"), "links")
+
+
+def _remaining(buckets: DataFrame, parts: DataFrame, tried: DataFrame, nodes: _Nodes, small: int, tiny: int, cell: int) -> DataFrame:
     """Links between components that share a bucket and are still apart."""
     asks, members, crowd = asking_pairs(buckets, parts, small)
     x, y = (crowd.filter(F.col("m") <= tiny).select("bucket", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "xy")
     few = x.join(y, "bucket").filter("x < y AND cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = _links(staged(few, "pairs"), nodes, similar)
+    links = nodes.links(staged(few, "pairs"))
     grid = asks.groupBy("component", "n").agg(F.count(F.lit(1)).alias("asking"))
     grid = staged(grid.select("component", F.ceil(F.col("asking") / cell).alias("rows"), F.ceil(F.col("n") / cell).alias("columns")), "grid")
-    links = links.unionByName(_cells(asks.select("component", "node", "mine"), members, "component", grid, nodes, _ask(similar, False)))
+    links = links.unionByName(nodes.cells(asks.select("component", "node", "mine"), members, "component", grid, _ask(nodes.similar, False)))
     crowd = crowd.filter(F.col("m") > tiny)
     side = F.ceil(F.col("m") / cell)
     grid = staged(crowd.select("bucket", side.alias("rows"), side.alias("columns")).distinct(), "grid")
     crowd = crowd.select("bucket", "node", "component")
-    return links.unionByName(_cells(crowd.withColumnRenamed("component", "mine"), crowd, "bucket", grid, nodes, _ask(similar, True)))
+    return links.unionByName(nodes.cells(crowd.withColumnRenamed("component", "mine"), crowd, "bucket", grid, _ask(nodes.similar, True)))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similar: int = SIMILAR, small: int = SMALL, tiny: int = TINY, cell: int = CELL) -> DataFrame:
@@ -269,22 +382,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    read = staged(rows.mapInArrow(_read(size), f"row long, id {kind}, n_shingles long, key binary, first boolean, text string"), "read")
+    read = staged(rows.mapInArrow(_read(size, similar), f"row long, id {kind}, n_shingles long, key binary, first boolean, sketch binary, text string"), "read")
     firsts = read.filter("first").select("key", F.col("row").alias("node"))
     classes = staged(firsts.groupBy("key").agg(F.min("node").alias("class")), "classes")
     same = firsts.join(classes, "key").filter("node <> class").select(F.col("class").alias("a"), F.col("node").alias("b"))
-    kinds = read.filter("first").select(F.col("row").alias("node"), "text")
-    signed = kinds.mapInArrow(_sign(size, similar), "bucket long, node long").repartition("bucket")
-    alike = signed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("n > 1")
-    chosen = alike.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "low", "high")
-    buckets = staged(signed.join(chosen, "bucket").select("bucket", "node", "low", "high").distinct(), "buckets")
-    wanted = buckets.select("node").distinct()
-    nodes = staged(kinds.join(wanted, "node").mapInArrow(_sets(size), "node long, features binary"), "nodes")
+    kinds = read.filter("first").select(F.col("row").alias("node"), "n_shingles", "sketch", "text")
+    nodes = _Nodes(kinds, size, similar)
+    signed = kinds.select("node", "text").mapInArrow(_sign(size, similar), "bucket long, node long")
+    bucket = Window.partitionBy("bucket")
+    shared = signed.select("bucket", "node", F.count(F.lit(1)).over(bucket).alias("n"), F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"), F.bit_xor(F.xxhash64("node")).over(bucket).alias("mark"))
+    shared = staged(shared.filter("low < high"), "shared")
+    chosen = shared.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
+    buckets = staged(shared.join(chosen, "bucket").select("bucket", "node", "low", "high"), "buckets")
     some = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("x"), "node")).alias("third"))
     leaders = buckets.join(some, "bucket").select("node", F.explode(F.array("low", "high", "third.node")).alias("leader")).filter("node <> leader")
     tried = staged(leaders.select(F.greatest("node", "leader").alias("b"), F.least("node", "leader").alias("a")).distinct(), "pairs")
-    links = staged(_links(tried, nodes, similar).unionByName(same), "links")
-    links = links.unionByName(_remaining(buckets.select("bucket", "node"), components(links), tried, nodes, similar, small, tiny, cell))
+    links = staged(nodes.links(tried).unionByName(same), "links")
+    links = links.unionByName(_remaining(buckets.select("bucket", "node"), components(links), tried, nodes, small, tiny, cell))
     parts = components(links)
     placed = classes.join(parts.withColumnRenamed("id", "class"), "class", "left").select("key", F.coalesce("component", "class").alias("part"))
     members = staged(read.select("row", "id", "n_shingles", "key").join(placed, "key", "left"), "members")
