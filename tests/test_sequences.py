@@ -182,3 +182,24 @@ def test_sliding_max_truncates(frames, data):
         k = 3 if e == 1 else 1
         for i in range(len(rows)):
             assert got[(e, i)] == max(r[3] for r in rows[max(0, i - k): i + k + 1])
+
+
+@pytest.mark.parametrize("span", [4.0, 65536.0])
+def test_sliding_windows_of_every_width(spark, span):
+    """Windows narrower and wider than their group, against the plain definition; blocks of four rows and one block."""
+    rng = np.random.default_rng(3)
+    rows, axis = [], S.FRAMES.by("row", span)
+    for e in range(40):
+        n, half, b, a = int(rng.integers(1, 14)), int(rng.integers(0, 9)), int(rng.integers(0, 6)), int(rng.integers(0, 6))
+        rows += [(e, i, float(v), half, b, a, n - 1, 1.7) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "episode long, row long, v double, k long, b long, a long, last_row long, s double")
+    top = collected(S.sliding_max(df, "v", "k", axis, name="m"), "m")
+    mean, bell = collected(S.smooth(df, {"m": F.col("v")}, "b", "a", axis), "m"), collected(S.smooth(df, {"m": F.col("v")}, "b", "a", axis, sigma="s"), "m")
+    of = {}
+    for e, _, v, *_ in rows:
+        of.setdefault(e, []).append(v)
+    for e, i, _, k, b, a, last, s in rows:
+        taps = [of[e][min(max(i + j, 0), last)] for j in range(-b, a + 1)]
+        weights = np.exp(-0.5 * (np.arange(-b, a + 1) / s) ** 2)
+        assert top[(e, i)] == max(of[e][max(0, i - k): i + k + 1])
+        assert mean[(e, i)] == pytest.approx(np.mean(taps)) and bell[(e, i)] == pytest.approx(np.average(taps, weights=weights))

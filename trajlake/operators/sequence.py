@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import planar
 from .blocks import BLOCK, FRAMES, Axis, attach, neighbourhood, number_rows, own_rows, quantile, running, shift
+from .lineage import cut
 
 
 def steps(df: DataFrame, values: Mapping[str, Column], axis: Axis = FRAMES, *, wrapped: Sequence[str] = ()) -> DataFrame:
@@ -159,12 +160,25 @@ def median_step(df: DataFrame, time: str, axis: Axis = FRAMES, *, span: float, n
 def sliding_max(df: DataFrame, value: str, half: str, axis: Axis = FRAMES, *, name: str) -> DataFrame:
     """Maximum over ``half`` rows to either side (truncated at the ends), ``half`` differing per group.
 
-    Every row offers its value to the rows it covers; the offers are pre-aggregated per task."""
-    offers = df.select(*axis.keys, F.col(value).alias("__v"),
-                       F.explode(F.sequence(F.greatest(F.col(axis.order) - F.col(half), F.lit(0)),
-                                            F.col(axis.order) + F.col(half))).alias(axis.order))
-    best = offers.groupBy(*axis.keys, axis.order).agg(F.max("__v").alias(name))
-    return df.join(best, [*axis.keys, axis.order])
+    A group is cut into stretches of a window's length. A window covers the end of one stretch and the start of the next, so
+    it is the greater of two numbers: the stretch's maximum up to a row and that from a row on. Each row passes on two
+    numbers whatever the width; nothing is multiplied."""
+    keys, row = list(axis.keys), F.col(axis.order)
+    wide = 2 * F.col(half) + 1
+    rows = attach(df.select(*keys, axis.order, F.col(half).cast("long").alias(half), F.col(value).alias("__v")), keys, {"__last": F.max(axis.order)})
+    rows = cut(rows.withColumn("__stretch", F.floor(row / wide)))
+    inside = Window.partitionBy(*keys, "__stretch").orderBy(axis.order)
+    upto = rows.withColumn("__m", F.max("__v").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    onward = rows.withColumn("__m", F.max("__v").over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    # Where the window reaches past the end, its right part is the last stretch up to the last row.
+    ends = upto.where(row == F.col("__last")).select(*keys, F.col("__m").alias("__tail"), (F.floor(row / wide) * wide).alias("__from"))
+    right = upto.where(row >= F.col(half)).select(*keys, (row - F.col(half)).alias(axis.order), "__m")
+    left = onward.where(row + F.col(half) <= F.col("__last")).select(*keys, (row + F.col(half)).alias(axis.order), "__m")
+    best = left.unionByName(right).groupBy(*keys, axis.order).agg(F.max("__m").alias("__best"))
+    out = rows.select(*keys, axis.order, half, "__last").join(ends, keys).join(best, [*keys, axis.order], "left")
+    past = (row + F.col(half) > F.col("__last")) & ((row - F.col(half) < F.col("__from")) | (row <= F.col(half)))
+    out = out.select(*keys, axis.order, F.greatest("__best", F.when(past, F.col("__tail"))).alias(name))
+    return df.join(out, [*keys, axis.order])
 
 
 def longest_run(table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -188,29 +202,46 @@ def smooth(df: DataFrame, values: Mapping[str, Column], behind: str, ahead: str,
     """Weighted mean over ``behind`` rows before to ``ahead`` rows after each row, the end rows repeated outside.
 
     The widths (and the Gaussian ``sigma`` in rows, else uniform weights) are columns, so they may differ per
-    group; ``last`` holds the group's last row number. Every row offers its weighted value to the rows it
-    reaches and the offers are summed per target: one shuffle, no per-group gathering."""
-    r = F.col(axis.order)
-    b, a, end = F.col(behind), F.col(ahead), F.col(last)
-
-    def weight(j: Column) -> Column:
-        return F.exp(-0.5 * F.pow(j / F.col(sigma), F.lit(2.0))) if sigma else F.lit(1.0)
-
-    def total(low: Column, high: Column) -> Column:
-        if sigma is None:
-            return F.greatest(high - low + 1, F.lit(0)).cast("double")
-        return F.aggregate(F.sequence(low, high), F.lit(0.0), lambda acc, j: acc + weight(j))
-
-    def offered(t: Column) -> Column:
-        j = r - t
-        w = F.when((r == 0) & (r == end), total(-b, a)).when(r == 0, total(-b, j)).when(r == end, total(j, a)).otherwise(weight(j))
-        return F.struct(t.alias("t"), w.alias("w"))
-
-    targets = F.sequence(F.greatest(r - a, F.lit(0)), F.least(r + b, end))
-    offers = df.select(*axis.keys, F.explode(F.transform(targets, offered)).alias("o"), *[e.alias(f"__v_{n}") for n, e in values.items()])
-    sums = offers.groupBy(*axis.keys, F.col("o.t").alias(axis.order)).agg(
-        *[(F.sum(F.col("o.w") * F.col(f"__v_{n}")) / F.sum("o.w")).alias(n) for n in values])
-    return df.drop(*values).join(sums, [*axis.keys, axis.order])
+    group; ``last`` holds the group's last row number. A uniform mean is the difference of two running sums, whatever the
+    width; a Gaussian one weighs the rows of its kernel, which a window over a block and its border gathers."""
+    rows = cut(df.select(*axis.keys, axis.order, behind, ahead, last, *([sigma] if sigma else []), *[e.cast("double").alias(f"__v_{n}") for n, e in values.items()]))
+    made = _kernel(rows, values, behind, ahead, sigma, last, axis) if sigma else _means(rows, values, behind, ahead, last, axis)
+    return df.drop(*values).join(made, [*axis.keys, axis.order])
+
+
+def _means(rows: DataFrame, values: Mapping[str, Column], behind: str, ahead: str, last: str, axis: Axis) -> DataFrame:
+    keys, row = list(axis.keys), F.col(axis.order)
+    b, a, end = F.col(behind).cast("long"), F.col(ahead).cast("long"), F.col(last)
+    summed = cut(running(rows, axis, {f"__s_{n}": ("sum", F.col(f"__v_{n}")) for n in values}))
+    high = summed.where(row >= a).select(*keys, (row - a).alias(axis.order), *[F.col(f"__s_{n}") for n in values])
+    low = summed.where(row + b + 1 <= end).select(*keys, (row + b + 1).alias(axis.order), *[(-F.col(f"__s_{n}")).alias(f"__s_{n}") for n in values])
+    # The first and last value of a group stand for the rows outside; the total for the sum past the end.
+    edge = rows.groupBy(*keys).agg(*[F.max(F.when(row == 0, F.col(f"__v_{n}"))).alias(f"__a_{n}") for n in values],
+                                   *[F.max(F.when(row == end, F.col(f"__v_{n}"))).alias(f"__z_{n}") for n in values])
+    total = summed.where(row == end).select(*keys, *[F.col(f"__s_{n}").alias(f"__t_{n}") for n in values])
+    parts = high.unionByName(low).groupBy(*keys, axis.order).agg(*[F.sum(f"__s_{n}").alias(f"__p_{n}") for n in values])
+    out = rows.join(edge, keys).join(total, keys).join(parts, [*keys, axis.order], "left")
+    before, after = F.greatest(b - row, F.lit(0)), F.greatest(row + a - end, F.lit(0))
+    mean = lambda n: (F.coalesce(f"__p_{n}", F.lit(0.0)) + F.when(after > 0, F.col(f"__t_{n}")).otherwise(0.0) + before * F.col(f"__a_{n}") + after * F.col(f"__z_{n}")) / (a + b + 1)
+    return out.select(*keys, axis.order, *[mean(n).alias(n) for n in values])
+
+
+def _kernel(rows: DataFrame, values: Mapping[str, Column], behind: str, ahead: str, sigma: str, last: str, axis: Axis) -> DataFrame:
+    keys, row = list(axis.keys), F.col(axis.order)
+    b, a, end = F.col(behind).cast("long"), F.col(ahead).cast("long"), F.col(last)
+    reach = int(rows.agg(F.greatest(F.max(b), F.max(a), F.lit(0)).alias("n")).first()["n"] or 0)
+    weight = lambda j: F.exp(-0.5 * F.pow(j / F.col(sigma), F.lit(2.0)))
+    sum_of = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
+    outside = lambda low, high: F.when(low <= high, sum_of(F.sequence(low, high), weight)).otherwise(0.0)
+    seen = F.struct(row.cast("long").alias("row"), *[F.col(f"__v_{n}").alias(f"v{i}") for i, n in enumerate(values)])
+    near = neighbourhood(rows, axis, before=reach, after=reach).withColumn("__near", F.collect_list(seen).over(axis.window().rowsBetween(-reach, reach)))
+    near = own_rows(near).withColumn("__near", F.filter("__near", lambda x: (x.row >= row - b) & (x.row <= row + a)))
+    head, tail = outside(-b, -row - 1), outside(end - row + 1, a)
+    out = near.withColumns({"__head": head, "__tail": tail, "__all": outside(-b, a)})
+    # With rows outside, the window begins at the group's first row and ends at its last: the edge values are its ends.
+    mean = lambda i: (sum_of(F.col("__near"), lambda x: weight(x.row - row) * x[f"v{i}"]) + F.col("__head") * F.col("__near")[0][f"v{i}"]
+                      + F.col("__tail") * F.element_at("__near", -1)[f"v{i}"]) / F.col("__all")
+    return out.select(*keys, axis.order, *[mean(i).alias(n) for i, n in enumerate(values)])
 
 
 def lookahead(df: DataFrame, path: str, length: float, values: Sequence[str], axis: Axis, span: float) -> DataFrame:
