@@ -46,12 +46,12 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(text)]
         self.width_a = np.array([len(t) for t in self.bytes_a], dtype=np.int64)
         self.width_b = np.array([len(t) for t in self.bytes_b], dtype=np.int64)
-        self.name_a, self.name_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(size)]
+        # Every id as text with what follows it: a comma inside a group, a bar behind its last A, a semicolon behind its last B.
+        self.names = [f"{i}{mark}" for n, marks in ((len(self.bytes_a), ",|"), (size, ",;")) for mark in marks for i in range(n)]
         # No piece joins a letter with a space behind it, so what begins with spaces is encoded on its own.
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for i, p in enumerate(text) if not self.model.is_byte(i))
         self.chunk = re.compile(" +[^ ]*")
-        self.lone = np.array([self.model.piece_to_id(SPACE)], dtype="<u2").tobytes()
-        self.chunks: dict[str, bytes] = {" ": self.lone}
+        self.chunks: dict[str, bytes] = {}
 
     @staticmethod
     def _byte_level(tokenizer) -> list[bytes]:
@@ -65,33 +65,40 @@ class Aligner:
         return out
 
     def ids_a(self, text: str):
-        np = self.np
+        """The ids, or None where they do not spell the space and the text."""
+        np, text = self.np, " " + text
         if self.fast is not None:
             try:
-                return np.array(self.fast.encode_ordinary(" " + text), dtype=np.int64)
+                ids = self.fast.encode_ordinary(text)
+                return np.array(ids, dtype=np.int64) if self.fast.decode_bytes(ids) == text.encode() else None
             except ValueError:  # a run too long for its pattern engine
                 pass
-        return np.array(self.exact.encode(" " + text, add_special_tokens=False).ids, dtype=np.int64)
+        ids = self.exact.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype=np.int64) if b"".join([self.bytes_a[i] for i in ids]) == text.encode() else None
+
+    def _ids_b(self, text: str) -> bytes | None:
+        """The ids of a text behind one space, which the model adds itself; a lone space would be the empty text."""
+        ids = self.model.encode(text[1:], num_threads=1) if text != " " else [self.model.piece_to_id(SPACE)]
+        return self.np.array(ids, dtype="<u2").tobytes() if b"".join([self.bytes_b[i] for i in ids]) == text.encode() else None
 
     def ids_b(self, text: str):
-        np = self.np
+        """The ids, or None where they do not spell the space and the text."""
+        np, text = self.np, " " + text
         if not self.apart or SPACE in text:
-            return np.array(self.model.encode(text, num_threads=1), dtype=np.int64)
-        known, parts = self.chunks, self.chunk.findall(" " + text)
-        try:
-            data = b"".join([known[p] for p in parts])
-        except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in known]
-            if len(known) + len(new) > CHUNKS:
-                known.clear()
-                known[" "] = self.lone  # alone it would be the empty text
-                new = [p for p in dict.fromkeys(parts) if p not in known]
-            for at in range(0, len(new), 5000):
-                some = new[at:at + 5000]
-                for p, ids in zip(some, self.model.encode([p[1:] for p in some], num_threads=1)):
-                    known[p] = np.array(ids, dtype="<u2").tobytes()
-            data = b"".join([known[p] for p in parts])
-        return np.frombuffer(data, dtype="<u2").astype(np.int64)
+            data = self._ids_b(text)
+        else:
+            known, parts = self.chunks, self.chunk.findall(text)
+            try:
+                data = b"".join([known[p] for p in parts])
+            except KeyError:  # new chunks, or some that cannot be spelled and never enter
+                new = {p for p in parts if p not in known}
+                if len(known) + len(new) > CHUNKS:
+                    known.clear()
+                    new = set(parts)
+                learned = {p: self._ids_b(p) for p in new}
+                known.update((p, ids) for p, ids in learned.items() if ids is not None)
+                data = None if None in learned.values() else b"".join([known[p] for p in parts])
+        return None if data is None else np.frombuffer(data, dtype="<u2").astype(np.int64)
 
     def align(self, text: str | None):
         """``(ids a, ids b, a of each link, b of each link, a's of each group, b's of each group)``, or None without tokens.
@@ -101,15 +108,11 @@ class Aligner:
         np = self.np
         if not text:
             return None
-        try:
-            raw = (" " + text).encode()
-        except UnicodeEncodeError:
-            return None
         a, b = self.ids_a(text), self.ids_b(text)
-        if b"".join([self.bytes_a[i] for i in a.tolist()]) != raw or b"".join([self.bytes_b[i] for i in b.tolist()]) != raw:
+        if a is None or b is None:
             return None
         end_a, end_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
-        marks = np.zeros(len(raw) + 1, dtype=np.int8)
+        marks = np.zeros(int(end_a[-1]) + 1, dtype=np.int8)
         marks[end_a] = 1
         marks[end_b] += 2
         kinds = marks[np.flatnonzero(marks)]
@@ -118,13 +121,19 @@ class Aligner:
 
     def groups(self, found) -> str:
         """``a1,a2|b1;a3|b2``: the ids of both sides by group."""
+        np = self.np
         a, b, _, _, upto_a, upto_b = found
-        names_a, names_b = [self.name_a[i] for i in a.tolist()], [self.name_b[i] for i in b.tolist()]
-        out, i, j = [], 0, 0
-        for x, y in zip(upto_a.tolist(), upto_b.tolist()):
-            out.append((names_a[i] if x == i + 1 else ",".join(names_a[i:x])) + "|" + (names_b[j] if y == j + 1 else ",".join(names_b[j:y])))
-            i, j = x, y
-        return ";".join(out)
+        size_a, size_b = len(self.bytes_a), len(self.bytes_b)
+        code_a, code_b = a.copy(), b + 2 * size_a
+        code_a[upto_a - 1] += size_a
+        code_b[upto_b - 1] += size_b
+        # A's of a group stand behind the B's of the groups before it, its B's behind its own A's too.
+        per_a, per_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        codes = np.empty(len(a) + len(b), dtype=np.int64)
+        codes[np.arange(len(a)) + np.repeat(upto_b - per_b, per_a)] = code_a
+        codes[np.arange(len(b)) + np.repeat(upto_a, per_b)] = code_b
+        names = self.names
+        return "".join([names[i] for i in codes.tolist()])[:-1]
 
 
 _OPEN: dict[tuple[str, str], Aligner] = {}
@@ -302,7 +311,7 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted = postings.select("a", "b", "bitmap", "planes").mapInArrow(_merge, "a int, b int, docs long, links long")
     pairs = staged(counted.groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.sum("links").alias("links")), "pairs")
     pairs = staged(pairs.join(pairs.groupBy("a").agg(F.max("docs").alias("top")), "a").select("a", "b", "docs", "links", "top"), "pairs-top")
-    scored = postings.join(pairs.select("a", "b", "docs", "top"), ["a", "b"]).select("span", "width", "bitmap", "planes", "docs", "top")
+    scored = postings.join(pairs.select("a", "b", "docs", "top").hint("merge"), ["a", "b"]).select("span", "width", "bitmap", "planes", "docs", "top")
     sums = scored.repartition("span").sortWithinPartitions("span").mapInArrow(_scores, "span long, doc int, n_best long, count_sum long")
     out = both.filter("NOT posting").join(sums, ["span", "doc"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
