@@ -234,6 +234,7 @@ def _kernel(rows: DataFrame, values: Mapping[str, Column], behind: str, ahead: s
     sum_of = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
     outside = lambda low, high: F.when(low <= high, sum_of(F.sequence(low, high), weight)).otherwise(0.0)
     seen = F.struct(row.cast("long").alias("row"), *[F.col(f"__v_{n}").alias(f"v{i}") for i, n in enumerate(values)])
+    axis = axis.by(axis.order, max(axis.span, float(reach)), axis.ties)  # a border lies in the next block
     near = neighbourhood(rows, axis, before=reach, after=reach).withColumn("__near", F.collect_list(seen).over(axis.window().rowsBetween(-reach, reach)))
     near = own_rows(near).withColumn("__near", F.filter("__near", lambda x: (x.row >= row - b) & (x.row <= row + a)))
     head, tail = outside(-b, -row - 1), outside(end - row + 1, a)
