@@ -389,12 +389,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = read.filter("first").select(F.col("row").alias("node"), "n_shingles", "sketch", "text")
     nodes = _Nodes(kinds, size, similar)
     signed = kinds.select("node", "text").mapInArrow(_sign(size, similar), "bucket long, node long")
+    # Buckets of the same nodes are one: the bucket's name becomes a hash of its members.
     bucket = Window.partitionBy("bucket")
-    shared = signed.select("bucket", "node", F.count(F.lit(1)).over(bucket).alias("n"), F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"), F.bit_xor(F.xxhash64("node")).over(bucket).alias("mark"))
-    shared = staged(shared.filter("low < high"), "shared")
-    chosen = shared.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
-    buckets = staged(shared.join(chosen, "bucket").select("bucket", "node", "low", "high"), "buckets")
-    some = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("x"), "node")).alias("third"))
+    shared = signed.select("node", F.count(F.lit(1)).over(bucket).alias("n"), F.bit_xor(F.xxhash64("node")).over(bucket).alias("bucket"))
+    buckets = staged(shared.filter("n > 1").select("bucket", "node").distinct(), "buckets")
+    some = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(F.xxhash64("node").alias("x"), "node")).alias("third"))
     leaders = buckets.join(some, "bucket").select("node", F.explode(F.array("low", "high", "third.node")).alias("leader")).filter("node <> leader")
     tried = staged(leaders.select(F.greatest("node", "leader").alias("b"), F.least("node", "leader").alias("a")).distinct(), "pairs")
     links = staged(nodes.links(tried).unionByName(same), "links")
