@@ -62,7 +62,7 @@ MOVED = RATED + islands("sp", "CASE WHEN abs(rate) > 0.05 THEN 1 END", "min(t) A
 jo AS (SELECT *, CASE WHEN t0 - lag(t1) OVER (PARTITION BY episode ORDER BY start) < 1.2 THEN 0 ELSE 1 END AS opens FROM mv), jg AS (SELECT *, sum(opens) OVER (PARTITION BY episode ORDER BY start) AS g FROM jo),
 mg AS (SELECT episode, min(start) AS start, max(stop) AS stop, min(t0) AS t0, max(t1) AS t1 FROM jg GROUP BY episode, g),
 en AS (SELECT m.*, max(f.opening) - min(f.opening) AS reach, abs(arg_max(f.opening, f.row) - arg_min(f.opening, f.row)) AS net FROM mg m JOIN frames f ON f.episode = m.episode AND f.row >= m.start AND f.row < m.stop GROUP BY ALL),
-moved AS (SELECT episode, start, stop, t0, t1 FROM en WHERE (t1 - t0 >= 0.5 OR net >= 0.05) AND reach >= 0.02)"""
+moved AS MATERIALIZED (SELECT episode, start, stop, t0, t1 FROM en WHERE (t1 - t0 >= 0.5 OR net >= 0.05) AND reach >= 0.02)"""
 
 
 @query("lb08_scalar_movements", "LB8", "WN8", "WN10", "WN11", sql=with_(FRAMES, MOVED + " SELECT episode, start, stop FROM moved"))
@@ -89,11 +89,10 @@ def _(spark, d):
     return D.split_turns(moves, rated.withColumn("window", F.lit(2)), ["rate"], "t", "window", L.FRAMES, TH)
 
 
-@query("wn18_lb09_stages", "WN18", "LB9", "JN15", sql=with_(FRAMES, MOVED + "," + islands("frames", "CASE WHEN closed THEN 1 END", name="hr") + """,
-ls AS (SELECT episode, max(row) AS last FROM frames GROUP BY episode),
-ev AS (SELECT e.*, a.t AS ta, b.t AS tb, ls.last FROM (SELECT episode, 'opening' AS part, start, stop FROM moved UNION ALL SELECT episode, 'hand', start, stop FROM hr) e JOIN ls USING (episode)
+STAGED = """ls AS (SELECT episode, max(row) AS last FROM frames GROUP BY episode),
+ev AS (SELECT e.*, a.t AS ta, b.t AS tb, ls.last FROM (EVENTS) e JOIN ls USING (episode)
   JOIN frames a ON a.episode = e.episode AND a.row = e.start JOIN frames b ON b.episode = e.episode AND b.row = least(e.stop - 1, ls.last)),
-nr AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY start, stop, part) AS n FROM (SELECT e.episode, e.part, e.start, e.stop, e.tb, list(struct_pack(row := f.row, t := f.t, activity := abs(f.rate)/0.5::DOUBLE) ORDER BY f.row) AS near
+nr AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY start, stop, part) AS n FROM (SELECT e.episode, e.part, e.start, e.stop, e.tb, list(struct_pack(row := f.row, t := f.t, activity := ACTIVITY) ORDER BY f.row) AS near
   FROM ev e JOIN sp f ON f.episode = e.episode AND f.t BETWEEN e.ta - 2.0 AND e.ta GROUP BY ALL)),
 st AS (WITH RECURSIVE r AS (SELECT episode, last, 0::BIGINT AS n, [0]::BIGINT[] AS cuts, []::STRUCT(part VARCHAR, stop BIGINT, tb DOUBLE)[] AS moved_ FROM ls
   UNION ALL SELECT episode, last, n, CASE WHEN again THEN list_append(cuts, cut.row) ELSE cuts END,
@@ -104,7 +103,16 @@ st AS (WITH RECURSIVE r AS (SELECT episode, last, 0::BIGINT AS n, [0]::BIGINT[]
         FROM (SELECT *, len(mine) > 0 AND start > cuts[-1] AS again, least(greatest(coalesce(mine[1].stop, 0) - 1, cuts[-1] + 1), start) AS low
           FROM (SELECT x.*, r.last, r.cuts, list_filter(r.moved_, lambda u: u.part = x.part) AS mine, list_filter(r.moved_, lambda u: u.part <> x.part) AS others FROM r JOIN nr x ON x.episode = r.episode AND x.n = r.n + 1)))))) SELECT * FROM r),
 bd AS (SELECT episode, list_sort(list_distinct(list_append(arg_max(cuts, n), any_value(last)))) AS b FROM st GROUP BY episode)
-SELECT episode, i - 1 AS stage, b[i] AS start, b[i + 1] AS stop FROM (SELECT episode, b, unnest(range(1, len(b))) AS i FROM bd)"""))
+SELECT episode, i - 1 AS stage, b[i] AS start, b[i + 1] AS stop FROM (SELECT episode, b, unnest(range(1, len(b))) AS i FROM bd)"""
+
+
+def staged_sql(events: str, activity: str) -> str:
+    """SQL for stage cuts over ``events`` (episode, part, start, stop) and the activity of the rows of ``sp``."""
+    return STAGED.replace("EVENTS", events).replace("ACTIVITY", activity)
+
+
+@query("wn18_lb09_stages", "WN18", "LB9", "JN15", sql=with_(FRAMES, MOVED + "," + islands("frames", "CASE WHEN closed THEN 1 END", name="hr") + "," + staged_sql(
+    "SELECT episode, 'opening' AS part, start, stop FROM moved UNION ALL SELECT episode, 'hand', start, stop FROM hr", "abs(f.rate)/0.5::DOUBLE")))
 def _(spark, d):
     """Stages of every episode: movements of the opening, and closed runs as a second part."""
     moves, rated = moving(spark, d)
