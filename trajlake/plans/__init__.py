@@ -6,5 +6,5 @@ from .registry import QUERIES, Query
 
 def all_queries() -> dict[str, Query]:
     """Every registered query, by name."""
-    from . import catalogue, flagship, folding, gating, generated, grasp_paths, labelling, movements, reports, resampling, rollouts, scenes, sequences, streams, views  # noqa: F401
+    from . import catalogue, flagship, folding, gating, generated, grasp_paths, labelling, motions, movements, reports, resampling, rollouts, scenes, sequences, streams, views  # noqa: F401
     return QUERIES
