@@ -36,7 +36,8 @@ def closed_by_opening(frames: DataFrame, time: str, axis: Axis, *, closed_openin
 def closed_by_command(frames: DataFrame, time: str, axis: Axis, *, drop: float = 0.1, rate: float = 0.25,
                       level_span: float = 0.01) -> DataFrame:
     """Closed state with a command: from the first stall after closing started (one well below the open level
-    is preferred) to the end of the commanded run; the whole run when the fingers never moved in it."""
+    is preferred) to the end of the commanded run; the whole run when the fingers never moved in it. An episode of fewer
+    than three rows has no rate to speak of and follows the command alone."""
     level = quantile(frames, axis.keys, F.col("opening"), 0.95, name="__level", span=level_span)
     out = gradient(frames, time, {"__rate": F.col("opening")}, axis).join(level, list(axis.keys))
     out = mark_runs(out, F.when(F.col("command") >= 0.5, F.lit(1)), axis, "__run")
@@ -50,8 +51,10 @@ def closed_by_command(frames: DataFrame, time: str, axis: Axis, *, drop: float =
     stops = later.groupBy(*run).agg(F.min(F.when(~closing & low, row)).alias("__a"), F.min(F.when(~closing, row)).alias("__b"))
     stops = starts.join(stops, run, "left").select(*run, F.when(F.col("__moving").isNull(), F.col("__run"))
                                                    .otherwise(F.coalesce("__a", "__b")).alias("__stop"))
-    out = out.join(stops, run, "left")
-    return out.withColumn("is_closed", F.coalesce(row >= F.col("__stop"), F.lit(False))).drop("__level", "__rate", "__run", "__stop")
+    sizes = frames.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("__n"))
+    out = out.join(stops, run, "left").join(sizes, list(axis.keys))
+    closed = F.when(F.col("__n") < 3, F.coalesce(F.col("command") >= 0.5, F.lit(False))).otherwise(F.coalesce(row >= F.col("__stop"), F.lit(False)))
+    return out.withColumn("is_closed", closed).drop("__level", "__rate", "__run", "__stop", "__n")
 
 
 # ---------------------------------------------------------------- hand-object contact
@@ -112,11 +115,12 @@ def grasp_labels(frames: DataFrame, time: str, axis: Axis, *, contact: float = 0
 
 
 def carried_rows(pairs: DataFrame, rows: Column, place: Mapping[str, Column], inside: Mapping[str, Column], axis: Axis, *,
-                 travel: float = 0.03, slip: float = 0.03, span: float = 0.05) -> DataFrame:
+                 travel: float = 0.03, slip: float = 0.03, span: float = 0.05, label: Column | None = None) -> DataFrame:
     """Rows of contiguous runs in which an object travels while it stays near its median place in the hand.
 
-    ``place``: world position, ``inside``: position in the hand frame. Adds ``carried`` to ``pairs``."""
-    out = mark_runs(pairs, F.when(rows, F.lit(1)), axis, "__run")
+    ``place``: world position, ``inside``: position in the hand frame. Runs of ``rows`` end where ``label`` changes, if
+    there is one. Adds ``carried`` to ``pairs``."""
+    out = mark_runs(pairs, F.when(rows, F.lit(1) if label is None else label), axis, "__run")
     run = [*axis.keys, "__run"]
     hit = out.where(F.col("__run").isNotNull() & F.col("valid"))
     box = hit.groupBy(*run).agg(F.count(F.lit(1)).alias("__n"), F.sqrt(sum(

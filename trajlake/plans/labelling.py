@@ -82,9 +82,14 @@ def _(spark, d):
     return f.join(ids, ["episode", "label"]).select("episode", "row", "object")
 
 
-HIT = NEAR + f""",
-hit AS (SELECT episode, row, t, closed, object, coalesce(dist, 'inf'::DOUBLE) AS dist, extent, width,
-   CASE WHEN closed AND coalesce(dist, 'inf'::DOUBLE) <= {CONTACT} AND NOT (width < 0.5 * extent) THEN object END AS lab0 FROM near)"""
+HIT = NEAR + ",\n" + islands("near", f"CASE WHEN closed AND coalesce(dist, 'inf'::DOUBLE) <= {CONTACT} THEN object END", name="hc") + f""",
+hcr AS (SELECT *, cos(yaw)*(px-x) + sin(yaw)*(py-y) AS rx, cos(yaw)*(py-y) - sin(yaw)*(px-x) AS ry, pz - z AS rz FROM hc_g),
+hcm AS (SELECT episode, g, count(*) AS n, quantile_cont(rx, 0.5) AS mx, quantile_cont(ry, 0.5) AS my, quantile_cont(rz, 0.5) AS mz,
+   sqrt(pow(max(px)-min(px), 2) + pow(max(py)-min(py), 2) + pow(max(pz)-min(pz), 2)) AS travel FROM hcr WHERE lab IS NOT NULL GROUP BY ALL),
+hcs AS (SELECT r.episode, r.g, max(sqrt(pow(rx-mx, 2) + pow(ry-my, 2) + pow(rz-mz, 2))) AS slip, any_value(n) AS n, any_value(travel) AS travel FROM hcr r JOIN hcm m ON m.episode = r.episode AND m.g = r.g WHERE lab IS NOT NULL GROUP BY ALL),
+hit AS (SELECT h.episode, row, t, closed, object, coalesce(dist, 'inf'::DOUBLE) AS dist, extent, width,
+   CASE WHEN lab IS NOT NULL AND NOT (width < 0.5 * extent AND NOT (object = 'purchase' AND coalesce(s.n >= 2 AND s.travel > 0.03 AND s.slip <= 0.1, false))) THEN object END AS lab0
+   FROM hc_g h LEFT JOIN hcs s ON s.episode = h.episode AND s.g = h.g AND h.lab IS NOT NULL)"""
 BRIDGED = HIT + f""",
 br0 AS (SELECT *, last_value(CASE WHEN lab0 IS NOT NULL THEN {{'l': lab0, 'r': row, 't': t}} END IGNORE NULLS) OVER (PARTITION BY episode ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
    first_value(CASE WHEN lab0 IS NOT NULL THEN {{'l': lab0, 'r': row, 't': t}} END IGNORE NULLS) OVER (PARTITION BY episode ORDER BY row ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx FROM hit),
@@ -98,9 +103,15 @@ grasp AS (SELECT x.*, CASE WHEN x.lab IS NOT NULL AND s.span >= 0.6 - 1e-9 THEN
 
 
 def grasped(spark, d):
-    h = cut(hand(spark, d))
-    h = B.row_end(h, "t", L.FRAMES).withColumn("carried", F.lit(False))
-    return B.grasp_labels(h, "t", L.FRAMES, contact=CONTACT, gap=1.5, least=0.6)
+    """Frames with their grasp labels; an envelope-shaped object that the hand carries rigidly is held whatever the width."""
+    p = pairs(spark, d).where(F.col("role") == "manipulated")
+    h = B.nearest(p, ["episode", "row"], F.col("dist"), ["extent", "width", "t", "closed", "envelope", "x", "y", "z", "yaw", "px", "py", "pz"]).withColumnRenamed("closed", "is_closed")
+    rx, ry, rz = _in_hand()
+    h = cut(h.withColumns({"rx": rx, "ry": ry, "rz": rz, "valid": F.lit(True)}))
+    h = B.carried_rows(h, F.col("is_closed") & (F.col("distance") <= CONTACT), {c: F.col(c) for c in ("px", "py", "pz")}, {c: F.col(c) for c in ("rx", "ry", "rz")},
+                       L.FRAMES, slip=0.1, label=F.col("nearest"))
+    h = cut(h.withColumn("carried", F.col("carried") & F.col("envelope")).select("episode", "row", "t", "is_closed", "nearest", "distance", "extent", "width", "carried"))
+    return B.grasp_labels(B.row_end(h, "t", L.FRAMES), "t", L.FRAMES, contact=CONTACT, gap=1.5, least=0.6)
 
 
 @query("lb02_grasp_labels", "LB2", "WN10", "WN11", sql=with_(OBJECT_FRAMES, BRIDGED + " SELECT episode, row, grasp FROM grasp"))
