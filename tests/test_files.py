@@ -121,3 +121,23 @@ def test_views_and_episodes_are_written(spark, tmp_path):
     O.append_records(spark.createDataFrame([("u", "f")], "uid string, family string"), str(tmp_path / "records"))
     O.append_records(spark.createDataFrame([("v", "f")], "uid string, family string"), str(tmp_path / "records"))
     assert spark.read.json(str(tmp_path / "records")).count() == 2
+
+
+def test_catalogue_opens_only_what_it_needs(spark, tmp_path):
+    """One family, or inline entries, by partition; families chosen by another table prune when the plan runs."""
+    from trajlake.sources.files import read_catalog
+    from trajlake.sources.sinks import write_catalog
+
+    rows = [(f"f{i % 5}/{i}", f"f{i % 5}", "table" if i % 3 == 0 else "inline") for i in range(60)]
+    write_catalog(spark.createDataFrame(rows, "id string, family string, origin string"), str(tmp_path / "c"))
+    path = str(tmp_path / "c")
+    assert {r.id for r in read_catalog(spark, path).collect()} == {r[0] for r in rows}
+    one, inline = read_catalog(spark, path, family="f2"), read_catalog(spark, path, tables=False)
+    assert {r.id for r in one.collect()} == {r[0] for r in rows if r[1] == "f2"} and {r.id for r in inline.collect()} == {r[0] for r in rows if r[2] == "inline"}
+    assert len({r.p for r in one.select(F.input_file_name().alias("p")).collect()}) <= 8 and all("family=f2" in r.p for r in one.select(F.input_file_name().alias("p")).collect())
+    with pytest.raises(KeyError):
+        read_catalog(spark, path, family="f9")
+    spark.createDataFrame([("f1", "open"), ("f2", "closed")], "family string, status string").write.parquet(str(tmp_path / "s"))
+    chosen = inline.join(spark.read.parquet(str(tmp_path / "s")).where("status = 'open'").select("family"), "family", "left_semi")
+    assert "dynamicpruning" in chosen._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in chosen.collect()} == {r[0] for r in rows if r[1] == "f1" and r[2] == "inline"}

@@ -3,10 +3,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trajlake.operators import catalog as K
+from trajlake.operators import folds as D
 from trajlake.operators import gates as A
 from trajlake.operators import labels as B
 from trajlake.operators import planning as P
@@ -307,3 +309,42 @@ def test_a_short_drop_extends_the_grasp(spark):
     got = placed_drops(df, F.col("held"), "t", AXIS, place=["px", "py", "pz"], inside=["rx", "rz"], turn="a", span=1.0, longest=0.6, min_drop=0.003, max_drop=0.05,
                        max_turn=0.35, rest_speed=0.02, rest_turn=0.05).collect()
     assert [(r.stop, r.new_stop, round(r.drop, 3)) for r in got] == [(6, 9, 0.04)]
+
+
+def test_command_of_a_two_row_episode(spark):
+    df = spark.createDataFrame([(1, 0, 0.0, 1.0, 1.0), (1, 1, 1.0, 0.4, 1.0), (2, 0, 0.0, 1.0, 0.0), (2, 1, 1.0, 0.4, 1.0)], "episode long, row long, t double, opening double, command double")
+    got = {(r.episode, r.row): r.is_closed for r in B.closed_by_command(df, "t", AXIS).collect()}
+    assert got == {(1, 0): True, (1, 1): True, (2, 0): False, (2, 1): True}
+
+
+def test_carried_runs_end_where_the_object_changes(spark):
+    """Object a travels rigidly in the hand and b does not; their runs adjoin."""
+    rows = [(1, i, "a" if i < 4 else "b", True, 0.1 * i, 0.0 if i < 4 else 0.2 * i) for i in range(8)]
+    df = spark.createDataFrame(rows, "episode long, row long, object string, valid boolean, p double, r double")
+    got = {r.row: r.carried for r in B.carried_rows(df, F.lit(True), {"p": F.col("p")}, {"r": F.col("r")}, AXIS, label=F.col("object")).collect()}
+    assert got == {i: i < 4 for i in range(8)}
+
+
+def test_stages_and_turns_in_blocks(spark):
+    """Random events and velocities: blocks of a few rows give what one block gives."""
+    rng = np.random.default_rng(12)
+    frames, events = [], []
+    for e in range(12):
+        n = int(rng.integers(20, 60))
+        frames += [(e, i, 0.1 * i, float(rng.random())) for i in range(n)]
+        for part in ("arm", "base", "grip"):
+            at = int(rng.integers(0, 5))
+            while at < n - 3:
+                stop = min(at + int(rng.integers(1, 12)), n)
+                events.append((e, part, at, stop))
+                at = stop + int(rng.integers(1, 5))
+    f = spark.createDataFrame(frames, "episode long, row long, t double, activity double")
+    ev = spark.createDataFrame(events, "episode long, part string, start long, stop long")
+    th = D.Thresholds(lead=0.5, tail=0.3)
+    cuts = [sorted(map(tuple, D.stage_cuts(ev, f, "t", D.Axis(("episode",), "row", span), th).collect())) for span in (65536.0, 7.0, 2.0)]
+    assert cuts[0] == cuts[1] == cuts[2] and len(cuts[0]) > 40
+    rated = spark.createDataFrame([(e, i, 0.1 * i, float(v), float(w), 2) for e in range(8) for i, (v, w) in enumerate(rng.normal(size=(50, 2)))], "episode long, row long, t double, vx double, vy double, window int")
+    moves = spark.createDataFrame([(e, a, a + 22, 0.1 * a, 0.1 * (a + 21)) for e in range(8) for a in (0, 24)], "episode long, start long, stop long, t0 double, t1 double")
+    th = D.Thresholds(turn_speed=0.9, min_duration=0.25)
+    turns = [sorted(map(tuple, D.split_turns(moves, rated, ["vx", "vy"], "t", "window", D.Axis(("episode",), "row", span), th).collect())) for span in (65536.0, 5.0, 2.0)]
+    assert turns[0] == turns[1] == turns[2] and len(turns[0]) > 16

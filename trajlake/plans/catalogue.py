@@ -1,14 +1,18 @@
 """Catalogue, ledger, listing and planning queries."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import catalog as K
 from ..operators import planning as P
 from ..operators.blocks import Axis, number_rows
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_folder
 from ..sources import landing as L
+from ..sources.files import read_catalog
+from ..sources.sinks import write_catalog
 from .registry import long, query, r6
 from .sqlbase import CATALOG, LEDGER, RECORDS, with_
 
@@ -388,12 +392,17 @@ def _(spark, d):
 @query("sc02_sc03_family_scan", "SC2", "SC3", "PJ16", sql=with_(CATALOG, """
 st AS (SELECT DISTINCT family, CASE WHEN try_cast(regexp_extract(family, '[0-9]+$') AS BIGINT) % 4 = 0 THEN 'excluded' ELSE 'available' END AS status FROM catalog) SELECT c.id, c.family FROM catalog c JOIN st USING (family) WHERE st.status = 'available' AND c.kind <> 'range_member'"""))
 def _(spark, d):
-    """Every family of the catalogue has a status, "available" unless its number says otherwise."""
-    catalog = L.catalog(spark, d)
+    """Inline entries of available families, from a catalogue table partitioned by family and origin.
+
+    Every family has a status, "available" unless its number says otherwise. Member rows are pruned when the plan is made,
+    unavailable families when it runs: the status table filters the partitions that are opened."""
+    path = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+    entries = L.catalog(spark, d).select("id", "family", F.when(F.col("kind") == "range_member", "table").otherwise("inline").alias("origin"))
+    write_catalog(entries, path)
     number = F.regexp_extract("family", "[0-9]+$", 0).try_cast("long")
-    status = catalog.select("family").distinct().withColumn("status", F.when(number % 4 == 0, "excluded").otherwise("available"))
-    open_ = status.where(F.col("status") == "available").select("family")
-    return catalog.where(F.col("kind") != "range_member").join(open_, "family", "left_semi").select("id", "family")
+    families = cut(L.catalog(spark, d).select("family").distinct().withColumn("status", F.when(number % 4 == 0, "excluded").otherwise("available")))
+    open_ = families.where(F.col("status") == "available").select("family")
+    return read_catalog(spark, path, tables=False).join(open_, "family", "left_semi").select("id", "family")
 
 
 @query("jn28_file_packages", "JN28", sql=with_(LEDGER, MEMBERS + """,

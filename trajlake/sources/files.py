@@ -136,3 +136,14 @@ def _trajectory_parquet(spark: SparkSession, path: str, *, select: Column | None
     """Per-episode Parquet; ``select`` filters episodes by name before anything else is read."""
     frames = read_trajectories(spark, path, columns)
     return {"frames": frames if select is None else frames.where(select)}
+
+
+def read_catalog(spark: SparkSession, path: str, *, family: str | None = None, tables: bool = True) -> DataFrame:
+    """A written catalogue: all of it, one family, or without the rows of member tables. Both choices name partitions, so
+    the other files are not opened. A family that was never written is refused."""
+    found = spark.read.parquet(path)
+    if family is not None:
+        if found.where(F.col("family") == family).limit(1).isEmpty():
+            raise KeyError(f"no catalogue for family {family!r}")
+        found = found.where(F.col("family") == family)
+    return found if tables else found.where(F.col("origin") == "inline")

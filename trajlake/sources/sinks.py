@@ -11,6 +11,9 @@ from ..operators.control_views import MODES, view
 from ..schema import EPISODE_INDEX, struct
 from ..operators.blocks import Axis
 
+#: Files a large family spreads over.
+CATALOG_FILES = 64
+
 
 def _publish(df: DataFrame, path: str, write) -> None:
     """Write beside the target and rename: a reader sees a whole table, the old or the new one, or for the moment between
@@ -79,6 +82,13 @@ def write_typed_tsv(rows: DataFrame, path: str, order: Sequence[str], ints: Sequ
     _publish(named, path, lambda df, p: df.write.options(**options).csv(p))
 
 
+def write_catalog(entries: DataFrame, path: str) -> None:
+    """Catalogue entries by ``family`` and ``origin`` (``inline``, or ``table`` for the rows of member tables): readers of one family,
+    or of inline entries, open no other files."""
+    placed = entries.repartition("family", "origin", F.pmod(F.xxhash64("id"), F.lit(CATALOG_FILES))).sortWithinPartitions("family", "origin", "id")
+    _publish(placed, path, lambda df, p: df.write.partitionBy("family", "origin").parquet(p))
+
+
 def write_job_manifest(jobs: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Job lines without their planning statistics."""
     _publish(jobs.select(*columns), path, lambda df, p: df.write.json(p))
