@@ -393,11 +393,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bucket = Window.partitionBy("bucket")
     shared = signed.select("node", F.count(F.lit(1)).over(bucket).alias("n"), F.bit_xor(F.xxhash64("node")).over(bucket).alias("bucket"))
     buckets = staged(shared.filter("n > 1").select("bucket", "node").distinct(), "buckets")
-    some = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(F.xxhash64("node").alias("x"), "node")).alias("third"))
+    some = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(F.xxhash64("node").alias("x"), "node")).alias("third"))
     leaders = buckets.join(some, "bucket").select("node", F.explode(F.array("low", "high", "third.node")).alias("leader")).filter("node <> leader")
     tried = staged(leaders.select(F.greatest("node", "leader").alias("b"), F.least("node", "leader").alias("a")).distinct(), "pairs")
     links = staged(nodes.links(tried).unionByName(same), "links")
-    links = links.unionByName(_remaining(buckets.select("bucket", "node"), components(links), tried, nodes, small, tiny, cell))
+    # With its smallest and largest every pair of up to three nodes is tried; larger buckets may hold untried ones.
+    larger = staged(buckets.join(some.filter("n > 3").select("bucket"), "bucket"), "larger")
+    links = links.unionByName(_remaining(larger, components(links), tried, nodes, small, tiny, cell))
     parts = components(links)
     placed = classes.join(parts.withColumnRenamed("id", "class"), "class", "left").select("key", F.coalesce("component", "class").alias("part"))
     members = staged(read.select("row", "id", "n_shingles", "key").join(placed, "key", "left"), "members")
