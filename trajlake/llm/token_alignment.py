@@ -47,7 +47,8 @@ class Aligner:
         self.width_a = np.array([len(t) for t in self.bytes_a], dtype=np.int64)
         self.width_b = np.array([len(t) for t in self.bytes_b], dtype=np.int64)
         # Every id as text with what follows it: a comma inside a group, a bar behind its last A, a semicolon behind its last B.
-        self.names = [f"{i}{mark}" for n, marks in ((len(self.bytes_a), ",|"), (size, ",;")) for mark in marks for i in range(n)]
+        names = [f"{i}{mark}".encode() for n, marks in ((len(self.bytes_a), ",|"), (size, ",;")) for mark in marks for i in range(n)]
+        self.names = np.array(names).view(np.uint8).reshape(len(names), -1)  # padded with zero bytes
         # No piece joins a letter with a space behind it, so what begins with spaces is encoded on its own.
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for i, p in enumerate(text) if not self.model.is_byte(i))
         self.chunk = re.compile(" +[^ ]*")
@@ -132,8 +133,8 @@ class Aligner:
         codes = np.empty(len(a) + len(b), dtype=np.int64)
         codes[np.arange(len(a)) + np.repeat(upto_b - per_b, per_a)] = code_a
         codes[np.arange(len(b)) + np.repeat(upto_a, per_b)] = code_b
-        names = self.names
-        return "".join([names[i] for i in codes.tolist()])[:-1]
+        text = self.names[codes]
+        return text[text > 0].tobytes()[:-1].decode()
 
 
 _OPEN: dict[tuple[str, str], Aligner] = {}
