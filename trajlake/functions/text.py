@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,6 +93,18 @@ def round_half_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with that many decimals like the C format ``%.3f``: its binary value is rounded to nearest, exact ties to even."""
+    x = x.cast("double")
+    half = float(f"5e-{digits + 1}")
+    # format_number leaves a value below the last digit at zero even beyond one half of that digit
+    up = F.abs(x) >= half if Decimal(half) > Decimal(5).scaleb(-digits - 1) else F.abs(x) > half
+    unit = f"%.{digits}f" % 10.0 ** -digits
+    text = F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+    return (F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+            .when((F.abs(x) < 10.0 ** -digits) & up, F.when(x < 0, f"-{unit}").otherwise(unit)).otherwise(text))
+
+
 def sig3(x: Column) -> Column:
     return significant(x, 3)
 
@@ -105,7 +118,7 @@ def significant(x: Column, digits: int) -> Column:
     at = F.floor(F.log10(F.round(size * F.pow(F.lit(10.0), last - at)) / F.pow(F.lit(10.0), last - at)) + 1e-9)
     out = F.when(size == 0, F.lit("0"))
     for e in range(-4, digits):
-        text = F.format_string(f"%.{last - e}f", x.cast("double"))
+        text = fixed(x, last - e)
         out = out.when(at == e, F.regexp_replace(text, r"\.?0+$", "") if e < last else text)
     plain = F.format_string(f"%.{last}e", x.cast("double"))
     return out.otherwise(F.regexp_replace(plain, r"\.?0*e", "e"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sig3, significant
+from ..functions.text import fixed, sig3, significant
 from .blocks import Axis, running
 from .sequence import mark_runs
 
@@ -49,7 +49,7 @@ def residual_reasons(frames: DataFrame, side: str, keys: Sequence[str], row: str
         F.count_if(pos > tp).alias("n_pos"), worst(pos - tp, row, pos.alias("err"), tp.alias("tol")).alias("p"),
         F.count_if(rot > tr).alias("n_rot"), worst(rot - tr, row, rot.alias("err"), tr.alias("tol")).alias("r"))
     n = lambda c: F.col(c).cast("string")
-    reach = F.concat(F.lit(f"{side} TCP target outside the reach band: grasp center z "), F.format_string("%.2f", F.col("far.z")),
+    reach = F.concat(F.lit(f"{side} TCP target outside the reach band: grasp center z "), fixed(F.col("far.z"), 2),
                      F.lit(f" m not in {REACH_Z[0]:.2f}-{REACH_Z[1]:.2f} m at frame "), n("far.row"), F.lit(" ("), n("n_out"), F.lit(" frames)"))
 
     def residual(name: str, c: str, unit: str, scale: float) -> Column:
