@@ -132,3 +132,10 @@ def test_fixed_is_the_c_format(spark, digits):
 def test_fixed_of_odd_numbers(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "x double").select(text.fixed(F.col("x"), 2).alias("s"))
     assert [r.s for r in df.collect()] == ["nan", "inf", "-inf", None]
+
+
+def test_jerk_polynomial_goes_on_beyond_one(spark):
+    df = spark.createDataFrame([(-0.1,), (0.5,), (1.1,)], "u double")
+    got = df.select(gripper.jerk_polynomial(F.col("u")).alias("a"), gripper.min_jerk(F.col("u")).alias("b")).collect()
+    assert [r.a for r in got] == pytest.approx([-0.01156, 0.5, 1.01156])
+    assert [r.b for r in got] == [0.0, 0.5, 1.0]

@@ -54,10 +54,14 @@ def angle_of_width(width: Column) -> Column:
     return (F.asin((PIVOT_HALF - PAD_INSET - w / 2.0) / LINK_LENGTH) - LINK_OFFSET) / LINK_SLOPE
 
 
+def jerk_polynomial(s: Column) -> Column:
+    """The quintic of a minimum-jerk move, also beyond its two ends."""
+    return s * s * s * (10.0 - 15.0 * s + 6.0 * s * s)
+
+
 def min_jerk(u: Column) -> Column:
     """Position along a minimum-jerk move at phase u."""
-    s = clip(u, 0.0, 1.0)
-    return s * s * s * (10.0 - 15.0 * s + 6.0 * s * s)
+    return jerk_polynomial(clip(u, 0.0, 1.0))
 
 
 def move_duration(distance: Column, turn: Column, speed: float, turn_rate: float, least: float) -> Column:
