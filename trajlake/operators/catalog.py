@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
 
 # Acquisition kinds, image extensions, folders that hold images or videos, texture extensions.
 KINDS = ("file", "file_images_embedded", "tar_stream", "range_member", "range_package")
@@ -173,7 +174,7 @@ def parse_listing(lines: DataFrame, data_root: str) -> DataFrame:
 
 def listing_line(family: str | None = None) -> list[Column]:
     """The columns of a catalogue listing: id, size in MB, kind, content, licence, flag."""
-    size = F.when(F.col("size").isNull(), "?").otherwise(F.format_string("%.1f MB", F.col("size") / 1e6))
+    size = F.when(F.col("size").isNull(), "?").otherwise(F.concat(fixed(F.col("size") / 1e6, 1), F.lit(" MB")))
     flag = F.when(F.col("usable"), F.lit(None).cast("string")).otherwise("unusable")
     return [F.concat_ws("\t", "id", size, "kind", F.coalesce("content", F.lit("")), "license", flag).alias("line")]
 
