@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
 from .blocks import Axis
 
 
@@ -34,7 +35,7 @@ def failing(gates: Sequence[tuple[str, Column, Column]]) -> Column:
 def depth_rule(depth: Column, reference: Column, *, absolute: float, margin: float) -> list[Column]:
     """Penetration gate relative to the source: threshold, verdicts and the rule in words."""
     threshold = F.greatest(F.lit(absolute), reference + margin)
-    four = lambda c: F.format_string("%.4f", c)
+    four = lambda c: fixed(c, 4)
     rule = F.when(reference.isNull(), F.concat(F.lit("absolute threshold "), four(F.lit(absolute)), F.lit(" m (no source reference)"))).otherwise(
         F.concat(F.lit("source-relative threshold "), four(threshold), F.lit(" m = max(absolute "), four(F.lit(absolute)),
                  F.lit(" m, source reference "), four(reference), F.lit(" m + "), four(F.lit(margin)), F.lit(" m)")))

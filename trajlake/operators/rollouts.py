@@ -11,6 +11,7 @@ from math import radians
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
 from .blocks import Axis, interval_join
 from .lineage import cut
 from .physics import depth_rule, rest_required
@@ -188,8 +189,8 @@ def gates(rollouts: DataFrame, metrics: DataFrame, contacts: DataFrame, carries:
     ``rollouts``: keys, expected (steps), warnings, reference (deepest source contact, or NULL), unmapped (objects without a
     body, as text, or NULL). ``bodies``: keys, body, object, at_rest, held_at_end, linear, angular. A rollout without
     steps fails what it has no measurement for; one without contacts, carries or bodies passes their gates."""
-    ks, written = list(keys), lambda mask: lambda c: F.when(c.isNotNull(), F.format_string(mask, c))
-    four, three = written("%.4f"), written("%.3f")
+    ks, written = list(keys), lambda digits: lambda c: fixed(c, digits)
+    four, three = written(4), written(3)
     grasp = _listed(carries.withColumn("__n", F.concat_ws("/", "side", "object")), ks, ["__n"], F.concat("__n", F.lit(": "), four(F.col("translation")), F.lit(" m, "), four(F.col("rotation")), F.lit(" rad")),
                     {"drift_ok": (F.col("translation") <= limits.grasp_translation) & (F.col("rotation") <= limits.grasp_rotation)}, "drift")
     pads = _listed(carries.withColumn("__n", F.concat_ws("/", "side", "object")), ks, ["__n"], F.concat("__n", F.lit(": "), four(F.col("fraction"))), {"pads_ok": F.col("fraction") >= limits.bilateral_fraction}, "pads")
@@ -227,7 +228,7 @@ def gates(rollouts: DataFrame, metrics: DataFrame, contacts: DataFrame, carries:
         "carry_contact": (fine("pads_ok"), F.coalesce("pads", F.lit("no carry"))),
         "task_final_pose": (F.coalesce("task_ok", F.lit(False)) & F.col("unmapped").isNull(), F.concat(F.coalesce("task", F.lit("no manipulated object with a scene body")), unmapped)),
         "objects_at_rest": (fine("rest_ok"), F.coalesce("rest", F.lit("no free body"))),
-        "actuator_replay": (F.col("replay") <= limits.replay, F.concat(F.lit("max |diff| "), F.coalesce(written("%.6f")(F.col("replay")), F.lit("none")))),
+        "actuator_replay": (F.col("replay") <= limits.replay, F.concat(F.lit("max |diff| "), F.coalesce(written(6)(F.col("replay")), F.lit("none")))),
     }
     rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("gate"), F.coalesce(judged[n][0], F.lit(False)).alias("ok"), F.coalesce(judged[n][1], F.lit("not measured")).alias("detail")) for i, n in enumerate(GATES)])
     return all_.select(*ks, F.explode(rows).alias("g")).select(*ks, "g.*")
