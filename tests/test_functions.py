@@ -139,3 +139,11 @@ def test_jerk_polynomial_goes_on_beyond_one(spark):
     got = df.select(gripper.jerk_polynomial(F.col("u")).alias("a"), gripper.min_jerk(F.col("u")).alias("b")).collect()
     assert [r.a for r in got] == pytest.approx([-0.01156, 0.5, 1.01156])
     assert [r.b for r in got] == [0.0, 0.5, 1.0]
+
+
+def test_reason_kind_of_endless_stop_words(spark):
+    """Tens of thousands of stop words, at the end or before another word, neither overflow nor take quadratic time."""
+    run = " in AT x" * 20000
+    rows = [("grip" + run, "grip"), ("grip" + run + " cup", "grip" + run + " cup"), ("grip into" + run + " inx", "grip into" + run + " inx"), (run, "other"), ("within of to", "within")]
+    df = spark.createDataFrame(rows, "reason string, want string").withColumn("kind", text.reason_kind(F.col("reason")))
+    assert [r.want[:20] for r in df.collect() if r.kind != r.want] == []

@@ -14,7 +14,10 @@ STOP_WORDS = ("by", "at", "of", "is", "to", "for", "in", "with", "during", "from
 GATE = r"^([a-z][a-z0-9_]*):"
 # A token that ends the descriptive part of a reason: it holds a digit, is a comparison or opens a bracket.
 BREAK = r" (\S*[0-9]\S*|<|>|=|<=|>=|/|\(\S*)( .*)?$"
-TAIL = "(?i)( (" + "|".join(STOP_WORDS) + "))+$"
+# Possessive, and never begun inside a run: Java's engine recurses once per repetition of a group it may give back, so a
+# run of thousands of stop words overflowed the stack and took the executor with it. No stop word begins another.
+_STOPS = " (?:" + "|".join(STOP_WORDS) + ")"
+TAIL = f"(?i)(?<!{_STOPS})(?:{_STOPS})++$"
 
 
 def reason_kind(reason: Column) -> Column:
