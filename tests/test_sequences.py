@@ -203,3 +203,18 @@ def test_sliding_windows_of_every_width(spark, span):
         weights = np.exp(-0.5 * (np.arange(-b, a + 1) / s) ** 2)
         assert top[(e, i)] == max(of[e][max(0, i - k): i + k + 1])
         assert mean[(e, i)] == pytest.approx(np.mean(taps)) and bell[(e, i)] == pytest.approx(np.average(taps, weights=weights))
+
+
+def test_quantile_has_one_rounding(spark):
+    """Levels between two values are those of a fused multiply-add, to the last bit."""
+    from fractions import Fraction
+    import math
+    import random
+    draw = random.Random(7)
+    rows = [(e, round(draw.uniform(0, 500), 2) / 500.0) for e in range(60) for _ in range(40 + e)]
+    got = {r.episode: r.q for r in quantile(spark.createDataFrame(rows, "episode long, v double"), ["episode"], F.col("v"), 0.95, name="q", span=0.05).collect()}
+    for e in range(60):
+        vs = sorted(v for k, v in rows if k == e)
+        at = (len(vs) - 1) * 0.95
+        part, low, high = at - math.floor(at), vs[math.floor(at)], vs[math.ceil(at)]
+        assert got[e] == float(Fraction(low) * Fraction(1.0 - part) + Fraction(high * part))
