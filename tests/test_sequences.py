@@ -218,3 +218,29 @@ def test_quantile_has_one_rounding(spark):
         at = (len(vs) - 1) * 0.95
         part, low, high = at - math.floor(at), vs[math.floor(at)], vs[math.ceil(at)]
         assert got[e] == float(Fraction(low) * Fraction(1.0 - part) + Fraction(high * part))
+
+
+def test_short_episodes_cost_no_frame_each(spark):
+    """Blocks come by in a stream of batches, not as one pandas frame per episode; one batch may cut a block anywhere."""
+    from trajlake.operators import folds
+    from trajlake.operators.blocks import Axis
+    import random
+    draw = random.Random(3)
+    rows = [(e, r, draw.uniform(-1, 1), draw.uniform(0, 0.4)) for e in range(12) for r in range(1 + 3 * e)]
+    df = spark.createDataFrame(rows, "episode long, row long, x double, s double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for span, batch in ((65536, 4), (5, 3), (4, 10000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            for reverse in (False, True):
+                out = folds.limited(df, Axis(("episode",), "row", span), "x", "s", "y", reverse=reverse)
+                assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+                got = {(r.episode, r.row): r.y for r in out.collect()}
+                assert len(got) == len(rows)
+                for e in range(12):
+                    y = None
+                    for _, r, x, s in sorted((t for t in rows if t[0] == e), reverse=reverse):
+                        y = x if y is None else min(max(x, y - s), y + s)
+                        assert got[e, r] == pytest.approx(y, abs=1e-12)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
