@@ -55,3 +55,10 @@ def test_plans_have_no_python_rows_and_no_cross_joins(spark, small):
     for name in ("wn09_label_runs", "ag05_failure_reasons", "jn16_nearest_object", "so05_prefix_cover", "cm06_ee_delta_base"):
         plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_ledger_joins_pass_the_driver_by(spark, small):
+    """Catalogue, ledger and listing grow with the tables: no side of their joins is broadcast."""
+    from trajlake.plans import all_queries
+    for name in ("jn04_ledger_verification", "jn02_jn03_identified_files"):
+        assert "BroadcastHashJoin" not in all_queries()[name].build(spark, small)._jdf.queryExecution().executedPlan().toString()

@@ -113,7 +113,8 @@ def verify(ledger: DataFrame, files: DataFrame, catalog: DataFrame) -> DataFrame
     """Problems of ledger records: file missing, digest changed, ledger and catalogue disagree (first rule wins)."""
     f = files.select(F.col("path").alias("local_path"), F.col("sha256").alias("have"), F.lit(True).alias("exists"))
     c = catalog.select("id", F.col("sha256").alias("pinned"))
-    out = ledger.join(f, "local_path", "left").join(c, "id", "left")
+    # compressed files look small enough to broadcast, their digests and paths are not: neither side goes through the driver
+    out = ledger.join(f.hint("merge"), "local_path", "left").join(c.hint("merge"), "id", "left")
     problem = (F.when(F.col("exists").isNull(), "missing").when(F.col("have") != F.col("sha256_verified"), "sha256 mismatch")
                .when(F.col("pinned") != F.col("sha256_verified"), "ledger differs from catalog"))
     return out.select("id", problem.alias("problem")).where(F.col("problem").isNotNull())
@@ -131,11 +132,11 @@ def not_fetched(catalog: DataFrame, ledger: DataFrame, members: DataFrame) -> Da
 def identify(files: DataFrame, catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     """Catalogue entry of every file: by its content, else by its place when the ledger recorded the same content there."""
     pinned = catalog.where(F.col("sha256").isNotNull()).groupBy("sha256").agg(F.min("id").alias("by_content"))
-    out = files.join(pinned, "sha256", "left")
+    out = files.join(pinned.hint("merge"), "sha256", "left")
     led = ledger.select(F.col("local_path").alias("path"), F.col("sha256_verified").alias("__led"))
-    out = out.join(led, "path", "left").withColumn("__place", F.regexp_replace("path", "^raw/", ""))
+    out = out.join(led.hint("merge"), "path", "left").withColumn("__place", F.regexp_replace("path", "^raw/", ""))
     cat = catalog.select(F.col("id").alias("__place"), F.col("sha256").alias("__pin"), F.lit(True).alias("__known"))
-    out = out.join(cat, "__place", "left")
+    out = out.join(cat.hint("merge"), "__place", "left")
     agreed = F.col("__known") & (F.col("__led") == F.col("sha256")) & (F.col("__pin").isNull() | (F.col("__pin") == F.col("sha256")))
     entry = F.coalesce("by_content", F.when(agreed, F.col("__place")))
     return out.select("path", entry.alias("entry"), F.when(F.col("by_content").isNotNull(), "content").when(agreed, "place").alias("how"))
