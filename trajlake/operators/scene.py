@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Axis, attach, quantile
+from .blocks import Axis, attach, quantile, spread
 from .sequence import first_run, longest_run, runs
 
 
@@ -153,10 +153,12 @@ def duplicates(episodes: DataFrame) -> DataFrame:
 
 
 def same_sets(built: DataFrame, recorded: DataFrame, keys: Sequence[str], item: Sequence[str]) -> DataFrame:
-    """Whether two item sets per group are equal, by a tagged union (no sets gathered)."""
-    both = built.select(*keys, *item).distinct().withColumns({"a": F.lit(1), "b": F.lit(0)}).unionByName(
-        recorded.select(*keys, *item).distinct().withColumns({"a": F.lit(0), "b": F.lit(1)}))
-    each = both.groupBy(*keys, *item).agg((F.sum("a") == F.sum("b")).alias("ok"))
+    """Whether two item sets per group are equal, by a tagged union (no sets gathered).
+
+    An item is in a set or not, however often it is listed: the greatest tags say so, nothing is made distinct first."""
+    both = built.select(*keys, *item, F.lit(True).alias("a"), F.lit(False).alias("b")).unionByName(
+        recorded.select(*keys, *item, F.lit(False).alias("a"), F.lit(True).alias("b")))
+    each = spread(both, [*keys, *item]).groupBy(*keys, *item).agg((F.bool_or("a") & F.bool_or("b")).alias("ok"))
     return each.groupBy(*keys).agg(F.bool_and("ok").alias("equal"))
 
 
