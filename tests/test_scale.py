@@ -1,9 +1,13 @@
 """What keeps a task's memory and the passes over a table from growing with it."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from trajlake.operators import scene
-from trajlake.operators.blocks import spread
+from trajlake.operators.blocks import Axis, number_rows, quantile, running, shift, spread
+from trajlake.operators.sequence import mark_runs
+from trajlake.sources import landing
 
 
 def plan(df) -> str:
@@ -20,3 +24,32 @@ def test_same_sets_spread_their_items_and_ignore_repeats(spark, small):
     b = spark.createDataFrame([(1, 6), (1, 5), (2, 7), (2, 9), (3, None), (5, 8)], "uid int, k int")
     assert dict(scene.same_sets(a, b, ["uid"], ["k"]).collect()) == {1: True, 2: False, 3: True, 4: False, 5: False}
     assert "REPARTITION_BY_NUM" in plan(entry.queries()["jn23_digest_sets_equal"](spark, small))
+
+
+def test_one_block_per_group_gives_the_same_rows_without_borders_and_carries(spark):
+    rows = spark.sql("""SELECT id % 3 AS episode, CAST(id DIV 3 AS BIGINT) AS row, CASE WHEN hash(id) % 3 <> 0 THEN hash(id) % 5 END AS v,
+                        CASE WHEN hash(id, 1) % 4 <> 0 THEN 1 END AS label, hash(id, 2) % 50 / 7.0D AS x FROM range(200)""")
+    tiny, one = Axis(("episode",), "row", 8.0), Axis(("episode",), "row", 65536.0, single=True)
+
+    def made(axis):
+        out = running(rows, axis, {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.col("v"))})
+        out = running(out, axis, {"n": ("last", F.col("v"))}, reverse=True, exclusive=True)
+        out = mark_runs(shift(out, axis, {"p": (F.col("v"), -2), "q": (F.col("v"), 3)}), F.col("label"), axis)
+        out = out.join(quantile(rows, ["episode"], F.col("x"), 0.95, name="level", span=0.5, single=axis.single), "episode")
+        return number_rows(out, ["episode"], ["x", "row"], F.floor("x"), name="k", firsts={"x0": F.col("x")}, single=axis.single)
+
+    assert sorted(map(tuple, made(tiny).select(sorted(made(one).columns)).collect()), key=str) == sorted(
+        map(tuple, made(one).select(sorted(made(one).columns)).collect()), key=str)
+    assert "__carry" not in plan(made(one)) and "Generate" not in plan(made(one))
+
+
+def test_placed_drops_sort_their_rows_once(spark, small):
+    text = plan(entry.queries()["lb18_placed_drops"](spark, small))
+    assert text.count("Window") <= 4 and "__carry" not in text
+
+
+def test_a_long_episode_is_cut_into_blocks(spark, tmp_path):
+    spark.range(65_537).selectExpr("1L AS user_id", "id AS event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert not landing.frame_axis(spark, str(tmp_path)).single
+    spark.range(65_536).selectExpr("1L AS user_id", "id AS event_id").write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert landing.frame_axis(spark, str(tmp_path)).single

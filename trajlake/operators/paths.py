@@ -11,6 +11,7 @@ from ..functions import rotation as R
 from ..functions.pose import Pose
 from ..functions.vectors import Sheet, add, clip, cols, norm, scale, sub
 from .blocks import Axis, interval_join, running, shift
+from .lineage import cut
 from .sequence import asof, fill_forward, mark_runs, next_value
 
 
@@ -173,15 +174,16 @@ def placed_drops(frames: DataFrame, held: Column, time: str, axis: Axis, *, plac
                 | {"__nseg": (F.col("__seg"), 1), "__more": (F.lit(1), 1)})
     gap = lambda t: F.sqrt(sum(((F.col(f"{t}{c}") - F.col(c)) * (F.col(f"{t}{c}") - F.col(c)) for c in place), F.lit(0.0))) / F.abs(F.col(f"{t}{time}") - F.col(time))
     still = lambda t: F.coalesce(~(F.col("valid") & F.col(f"{t}valid")) | (gap(t) < rest_speed), F.lit(True))
-    out = out.withColumn("__still", still("__p_") & still("__n_"))
+    out = cut(out.select(*keys, axis.order, *cols_, "__seg", "__nseg", "__more", (still("__p_") & still("__n_")).alias("__still")))
     last = out.where(F.col("__seg").isNotNull() & F.col("__nseg").isNull() & F.col("__more").isNotNull()).select(
         *keys, (row + 1).alias("stop"), F.col(time).alias("__lo"), (F.col(time) + longest + 1e-9).alias("__hi"), *[F.col(c).alias(f"__0_{c}") for c in (*inside, turn)])
     free = out.where(F.col("__seg").isNull()).select(*keys, axis.order, *cols_, "__still")
     rows = interval_join(free, last, keys, time, "__lo", "__hi", span).where(row >= F.col("stop"))
     # rows of this pause only: the pause ends at the first held or invalid row
-    held_after = next_value(out, "__h", F.when(F.col("__seg") == row, row), axis).select(*keys, F.col(axis.order).alias("stop"), F.col("__h").alias("__until"))
+    held_after = next_value(out.select(*keys, axis.order, "__seg"), "__h", F.when(F.col("__seg") == row, row), axis).select(*keys, F.col(axis.order).alias("stop"), F.col("__h").alias("__until"))
     rows = rows.join(held_after, [*keys, "stop"], "left").where(F.col("__until").isNull() | (row < F.col("__until")))
     id_ = [*keys, "stop"]
+    rows = cut(rows)
     rows = rows.join(rows.groupBy(*id_).agg(F.min(F.when(~F.col("valid"), row)).alias("__bad")), id_).where(F.col("__bad").isNull() | (row < F.col("__bad")))
     fallen = F.sqrt(sum(((F.col(c) - F.col(f"__0_{c}")) * (F.col(c) - F.col(f"__0_{c}")) for c in inside), F.lit(0.0)))
     rest = rows.where((fallen > min_drop) & F.col("__still")).groupBy(*id_).agg(

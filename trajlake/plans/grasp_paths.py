@@ -83,9 +83,10 @@ e AS (SELECT k.episode, k.object, k.stop, k.row, k.turn, z.fallen AS "drop" FROM
    QUALIFY row_number() OVER (PARTITION BY k.episode, k.object, k.stop ORDER BY k.row) = 1)
 SELECT episode, object, stop, row + 1 AS new_stop, round("drop", 6) + 0.0 AS "drop", round(turn, 6) + 0.0 AS turn FROM e WHERE "drop" <= 0.4 AND turn <= 0.35"""))
 def _(spark, d):
-    o = L.object_frames(spark, d)
+    axis = L.frame_axis(spark, d)
+    o = L.object_frames(spark, d, axis=axis)
     o = cut(o.select("episode", "object", "row", "t", "closed", "valid", "px", "py", "pz", (F.col("px") - F.col("x")).alias("rx"), (F.col("py") - F.col("y")).alias("ry"), (F.col("row") / 40.0).alias("angle")))
-    out = T.placed_drops(o, F.col("closed"), "t", OBJECT_ROWS, place=["px", "py", "pz"], inside=["rx", "ry"], turn="angle", span=1.0, longest=2.0, min_drop=0.02, max_drop=0.4,
+    out = T.placed_drops(o, F.col("closed"), "t", axis.within("object"), place=["px", "py", "pz"], inside=["rx", "ry"], turn="angle", span=1.0, longest=2.0, min_drop=0.02, max_drop=0.4,
                          max_turn=0.35, rest_speed=0.2, rest_turn=0.1)
     return out.select("episode", "object", "stop", "new_stop", r6("drop").alias("drop"), r6("turn").alias("turn"))
 
