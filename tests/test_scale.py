@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from trajlake.operators import scene
+from trajlake.operators import labels, scene
 from trajlake.operators.blocks import Axis, number_rows, quantile, running, shift, spread
 from trajlake.operators.sequence import mark_runs
 from trajlake.sources import landing
@@ -53,3 +53,18 @@ def test_a_long_episode_is_cut_into_blocks(spark, tmp_path):
     assert not landing.frame_axis(spark, str(tmp_path)).single
     spark.range(65_536).selectExpr("1L AS user_id", "id AS event_id").write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
     assert landing.frame_axis(spark, str(tmp_path)).single
+
+
+def test_labels_of_short_episodes_need_no_carries(spark, small):
+    for name in ("lb03_carried_runs", "lb06_carry_intervals", "lb04_touch_labels"):
+        text = plan(entry.queries()[name](spark, small))
+        assert "__carry" not in text and "__offset" not in text, name
+
+
+def test_carried_runs_at_once_equal_those_in_blocks(spark):
+    rows = spark.sql("""SELECT id % 4 AS episode, CAST(id DIV 4 AS BIGINT) AS row, hash(id DIV 28, id % 4) % 3 <> 0 AS closed, hash(id, 1) % 5 <> 0 AS valid,
+                        hash(id, 2) % 9 / 90.0D AS px, hash(id, 3) % 9 / 900.0D AS rx FROM range(400)""")
+    made = [labels.carried_rows(rows, F.col("closed"), {"px": F.col("px")}, {"rx": F.col("rx")}, axis, slip=0.012, travel=0.08).select("episode", "row", "carried")
+            for axis in (Axis(("episode",), "row", 8.0), Axis(("episode",), "row", 65536.0, single=True))]
+    assert sorted(map(tuple, made[0].collect())) == sorted(map(tuple, made[1].collect()))
+    assert {r.carried for r in made[1].collect()} == {True, False}
