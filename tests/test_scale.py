@@ -56,7 +56,7 @@ def test_a_long_episode_is_cut_into_blocks(spark, tmp_path):
 
 
 def test_labels_of_short_episodes_need_no_carries(spark, small):
-    for name in ("lb03_carried_runs", "lb06_carry_intervals", "lb04_touch_labels"):
+    for name in ("lb03_carried_runs", "lb06_carry_intervals", "lb04_touch_labels", "rs03_output_clock", "rs04_rs07_resampled_frames"):
         text = plan(entry.queries()[name](spark, small))
         assert "__carry" not in text and "__offset" not in text, name
 

@@ -19,10 +19,10 @@ LIMITS = {"bx": 4.0, "by": 4.0, "yaw": 40.0}
 SLIDE = 2.0
 
 
-def slowed(spark, d):
+def slowed(spark, d, axis=L.FRAMES):
     """Source intervals of every episode with their slow-down."""
-    f = cut(L.frames(spark, d).select("episode", "row", "t", "x", "y", "yaw", "opening", "closed", "label"))
-    iv = Z.intervals(f, "t", ["x", "y", "yaw", "opening", "label", "closed"], L.FRAMES)
+    f = cut(L.frames(spark, d, axis).select("episode", "row", "t", "x", "y", "yaw", "opening", "closed", "label"))
+    iv = Z.intervals(f, "t", ["x", "y", "yaw", "opening", "label", "closed"], axis)
     bx, by = planar.to_body(F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y"), (F.col("yaw") + F.col("next_yaw")) / 2.0)
     moved = [(bx, LIMITS["bx"]), (by, LIMITS["by"]), (F.col("next_yaw") - F.col("yaw"), LIMITS["yaw"])]
     return f, Z.required_slowdown(iv, moved, [(F.col("next_opening") - F.col("opening"), SLIDE)])
@@ -50,12 +50,12 @@ dil AS (SELECT r.*, CASE WHEN w.row IS NULL THEN s.m ELSE greatest(s.m, 0.6::DOU
 warp AS (SELECT *, sum(dt*dilation) OVER (PARTITION BY episode ORDER BY row) AS warp1, sum(dt*dilation) OVER (PARTITION BY episode ORDER BY row) - dt*dilation AS warp0 FROM dil)"""
 
 
-def dilated(spark, d):
-    f, iv = slowed(spark, d)
-    med = median_step(f.select("episode", "row", "t"), "t", L.FRAMES, span=0.25)
+def dilated(spark, d, axis=L.FRAMES):
+    f, iv = slowed(spark, d, axis)
+    med = median_step(f.select("episode", "row", "t"), "t", axis, span=0.25)
     half = F.greatest(F.round(1.0 / F.col("median_dt")), F.lit(1)).cast("long")
     iv = iv.join(med.select("episode", half.alias("half")), "episode")
-    return Z.dilate(iv, "half", Z.grasp_dwell(f.select("episode", "row", "closed"), F.col("closed"), L.FRAMES), 0.6, L.FRAMES)
+    return Z.dilate(iv, "half", Z.grasp_dwell(f.select("episode", "row", "closed"), F.col("closed"), axis), 0.6, axis)
 
 
 @query("rs02_dilation", "RS2", "WN7", "LB7", sql=with_(FRAMES, DILATED + " SELECT episode, row, round(dilation, 4) AS dilation FROM dil"))
@@ -66,7 +66,8 @@ def _(spark, d):
 def resampled(spark, d, step: float = STEP_DAYS):
     """Output rows with both ends of their source interval. The slowed intervals are read by the running sum and by
     its carry, so they are written once before it."""
-    return Z.clock(Z.warp(cut(dilated(spark, d)), L.FRAMES), "t", step)
+    axis = L.frame_axis(spark, d)
+    return Z.clock(Z.warp(cut(dilated(spark, d, axis)), axis), "t", step)
 
 
 TICKS = DILATED + f""",
