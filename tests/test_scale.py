@@ -68,3 +68,8 @@ def test_carried_runs_at_once_equal_those_in_blocks(spark):
             for axis in (Axis(("episode",), "row", 8.0), Axis(("episode",), "row", 65536.0, single=True))]
     assert sorted(map(tuple, made[0].collect())) == sorted(map(tuple, made[1].collect()))
     assert {r.carried for r in made[1].collect()} == {True, False}
+
+
+def test_attempts_are_counted_without_being_numbered(spark, small):
+    for name in ("ag07_attempts_histogram", "ag07_tracking_totals"):
+        assert "Window" not in plan(entry.queries()[name](spark, small)), name

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import exclusion_label, reason_kind
+from .blocks import spread
 
 STAGES = ("source", "excluded", "retargeted", "K", "P_tested", "P", "K_and_P", "written", "errors")
 
@@ -124,7 +125,7 @@ def axis_counts(records: DataFrame) -> DataFrame:
 
 def attempt_histogram(records: DataFrame, attempts: DataFrame) -> DataFrame:
     """Records per number of attempts; a record without any counts as one attempt."""
-    tried = attempts.groupBy("uid").agg(F.count(F.lit(1)).alias("__n"))
+    tried = spread(attempts.select("uid"), ["uid"]).groupBy("uid").agg(F.count(F.lit(1)).alias("__n"))
     n = F.coalesce("__n", F.lit(1)).cast("long")
     return records.join(tried, "uid", "left").groupBy(n.alias("attempts")).agg(F.count(F.lit(1)).alias("episodes"))
 
