@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from trajlake.operators import labels, scene
+from trajlake.operators import labels, resample, scene
 from trajlake.operators.blocks import Axis, number_rows, quantile, running, shift, spread
 from trajlake.operators.sequence import mark_runs
 from trajlake.sources import landing
@@ -73,3 +73,30 @@ def test_carried_runs_at_once_equal_those_in_blocks(spark):
 def test_attempts_are_counted_without_being_numbered(spark, small):
     for name in ("ag07_attempts_histogram", "ag07_tracking_totals"):
         assert "Window" not in plan(entry.queries()[name](spark, small)), name
+
+
+def test_servo_readings_come_from_their_intervals(spark, small):
+    rows = spark.sql("SELECT 0 AS episode, id AS row, id * id * 0.07D AS t, hash(id) % 9 / 3.0D AS yaw, hash(id, 1) % 7 / 7.0D AS opening FROM range(40)")
+    got = {}
+    for axis, chunk in ((Axis(single=True), 4096), (Axis(span=4.0), 3)):
+        out = resample.servo_reference(rows, "t", {"yaw": 0.2, "opening": -0.3}, ["opening"], 0.5, axis, chunk)
+        got[chunk] = {r["k"]: (r["yaw"], r["opening"]) for r in out.collect()}
+    t, yaw, opening = ([r[c] for r in rows.orderBy("row").collect()] for c in ("t", "yaw", "opening"))
+
+    def read(values, at):
+        at = min(max(at, t[0]), t[-1])
+        i = max(i for i in range(len(t) - 1) if t[i] <= at)
+        return values[i] + (at - t[i]) / (t[i + 1] - t[i]) * (values[i + 1] - values[i])
+
+    want = {k: (read(yaw, k * 0.5 + 0.2), min(read(opening, k * 0.5 - 0.3), read(opening, k * 0.5))) for k in range(1, round((t[-1] - t[0]) / 0.5) + 1)}
+    for rows_ in got.values():
+        assert rows_.keys() == want.keys()
+        assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(rows_[k], want[k]))
+    assert "REPARTITION_BY_NUM" in plan(entry.queries()["rs10_servo_reference"](spark, small))
+
+
+def test_rows_that_share_the_end_give_no_servo_reading_there(spark):
+    rows = spark.createDataFrame([(0, 0, 0.0, 1.0), (0, 1, 0.0, 2.0), (0, 2, 1.0, 3.0), (0, 3, 1.0, 4.0)], "episode int, row long, t double, yaw double")
+    for axis in (Axis(single=True), Axis(span=2.0)):
+        out = dict(resample.servo_reference(rows, "t", {"yaw": 0.0}, [], 0.5, axis).select("k", "yaw").collect())
+        assert out[1] == 2.5 and out[2] != out[2] and len(out) == 2

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rotation
 from ..functions.vectors import Sheet
 from .blocks import Axis, attach, running, shift
-from .sequence import asof, runs, sliding_max
+from .sequence import runs, sliding_max
 
 
 def intervals(frames: DataFrame, time: str, carried: Sequence[str], axis: Axis) -> DataFrame:
@@ -100,29 +100,41 @@ def geodesic(sheet: Sheet, name: str, a: Sequence[Column], b: Sequence[Column],
 
 
 def servo_reference(frames: DataFrame, time: str, joints: Mapping[str, float], fingers: Sequence[str], step: float, axis: Axis,
-                    clock_axis: Axis) -> DataFrame:
+                    chunk: int = 4096) -> DataFrame:
     """Servo targets at uniform step ends, each joint read its lead ahead (clamped to the episode), fingers the
-    more closed of their led and current values."""
-    iv = intervals(frames.select(*axis.keys, axis.order, time, *joints), time, list(joints), axis)
-    ends = frames.groupBy(*axis.keys).agg(F.min(time).alias("__t0"), F.max(time).alias("__t1"))
-    n = F.round((F.col("__t1") - F.col("__t0")) / step).cast("long")
-    leads = F.array(*[F.struct(F.lit(name).alias("joint"), F.lit(float(lead)).alias("lead")) for name, lead in joints.items()]
-                    + [F.struct(F.lit(f"{name}@now").alias("joint"), F.lit(0.0).alias("lead")) for name in fingers])
-    ticks = uniform_ticks(ends, axis.keys, F.lit(1), n)
-    probes = ticks.select(*axis.keys, "k", "__t0", "__t1", F.explode(leads).alias("j"))
-    at = F.least(F.greatest(F.col("__t0") + F.col("k") * step + F.col("j.lead"), F.col("__t0")), F.col("__t1"))
-    probes = probes.select(*axis.keys, "k", F.col("j.joint").alias("joint"), at.alias(time))
-    source = iv.withColumn("__s", F.col(time))
-    hit = asof(probes, source.select(*axis.keys, time, "__s", "dt", *joints, *[f"next_{j}" for j in joints]), time,
-               ["__s", "dt", *joints, *[f"next_{j}" for j in joints]], clock_axis)
-    u = (F.col(time) - F.col("__s")) / F.col("dt")
-    value = F.lit(None).cast("double")
-    for name in joints:
-        value = F.when(F.split_part("joint", F.lit("@"), F.lit(1)) == name, linear(F.col(name), F.col(f"next_{name}"), u)).otherwise(value)
-    rows = hit.select(*axis.keys, "k", "joint", value.alias("v"))
-    names = [*joints, *[f"{f}@now" for f in fingers]]
-    wide = rows.groupBy(*axis.keys, "k").agg(*[F.max(F.when(F.col("joint") == n, F.col("v"))).alias(n) for n in names])
-    return wide.select(*axis.keys, "k", *[F.least(F.col(j), F.col(f"`{j}@now`")).alias(j) if j in fingers else F.col(j) for j in joints])
+    more closed of their led and current values.
+
+    Every source interval yields the readings that fall into it, the last one also those at or past the end: no as-of
+    join. Which readings may fall into it follows from its bounds within a rounding error, whether they do from their time.
+    A reading in an interval without duration, at an end that several rows share, is not a number."""
+    keys, (t, next_t) = list(axis.keys), (F.col(time), F.col(f"next_{time}"))
+    rows = frames.select(*keys, axis.order, time, *joints)
+    span = {"__t0": F.min(time), "__t1": F.max(time)}
+    if axis.single:
+        group = Window.partitionBy(*keys)
+        rows = rows.withColumns({name: e.over(group) for name, e in span.items()})
+    else:
+        rows = attach(rows, keys, span)
+    near = {f"next_{c}": (F.col(c), 1) for c in (time, *joints)} | {"__after": (F.lit(1), 2)}
+    iv = shift(rows, axis, near).where(next_t.isNotNull()).withColumn("__n", F.round((F.col("__t1") - F.col("__t0")) / step).cast("long"))
+    readings = [(name, name, lead) for name, lead in joints.items()] + [(f"{name}@now", name, 0.0) for name in fingers]
+
+    def ticks(kind: str, lead: float) -> Column:
+        low, high = ((c - F.col("__t0") - float(lead)) / step for c in (t, next_t))
+        first = F.when(t <= F.col("__t0"), F.lit(1)).otherwise(F.ceil(low - (F.abs(low) + 1) * 1e-6))
+        last = F.when(F.col("__after").isNull(), F.col("__n")).otherwise(F.floor(high + (F.abs(high) + 1) * 1e-6))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(float(lead)).alias("lead"), F.greatest(first, F.lit(1)).cast("long").alias("first"), F.least(last, F.col("__n")).cast("long").alias("last"))
+
+    found = iv.withColumn("__r", F.explode(F.array(*[ticks(kind, lead) for kind, _, lead in readings]))).where(F.col("__r.last") >= F.col("__r.first"))
+    found = found.withColumn("__k", F.explode(F.sequence("__r.first", "__r.last", F.lit(chunk).cast("long"))))
+    found = found.withColumn("k", F.explode(F.sequence("__k", F.least(F.col("__k") + (chunk - 1), F.col("__r.last")))))
+    at = F.least(F.greatest(F.col("__t0") + F.col("k") * step + F.col("__r.lead"), F.col("__t0")), F.col("__t1"))
+    found = found.withColumn("__at", at).where((F.col("__at") >= t) & (F.col("__after").isNull() | (F.col("__at") < next_t)))
+    length = next_t - t
+    u = F.when(length != 0, (F.col("__at") - t) / length).otherwise(float("nan"))
+    wide = found.groupBy(*keys, "k").agg(
+        *[F.max(F.when(F.col("__r.kind") == kind, linear(F.col(name), F.col(f"next_{name}"), u))).alias(kind) for kind, name, _ in readings])
+    return wide.select(*keys, "k", *[F.least(F.col(j), F.col(f"`{j}@now`")).alias(j) if j in fingers else F.col(j) for j in joints])
 
 
 __all__ = ["agreed_label", "attach", "both_valid", "clock", "dilate", "geodesic", "grasp_dwell", "intervals", "linear",

@@ -146,6 +146,7 @@ hit AS (SELECT p.*, i.t, i.dt, i.yaw, i.nyaw, i.opening, i.nopening, (p.at - i.t
 SELECT episode, k, round(max(CASE WHEN j = 'yaw' THEN yaw + u*(nyaw - yaw) END), 5) + 0.0 AS yaw, round(min(CASE WHEN j <> 'yaw' THEN opening + u*(nopening - opening) END), 5) + 0.0 AS opening
 FROM hit GROUP BY episode, k"""))
 def _(spark, d):
-    f = L.frames(spark, d)
-    out = Z.servo_reference(f, "t", {"yaw": 0.2, "opening": 0.3}, ["opening"], 0.5, L.FRAMES, L.CLOCK)
+    axis = L.frame_axis(spark, d)
+    f = L.frames(spark, d, axis, dealt=True)
+    out = Z.servo_reference(f, "t", {"yaw": 0.2, "opening": 0.3}, ["opening"], 0.5, axis)
     return out.select("episode", "k", r6("yaw", 5).alias("yaw"), r6("opening", 5).alias("opening"))
