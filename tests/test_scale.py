@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from trajlake.operators import labels, resample, scene
+from trajlake.operators import catalog, labels, resample, scene
 from trajlake.operators.blocks import Axis, number_rows, quantile, running, shift, spread
 from trajlake.operators.sequence import mark_runs
 from trajlake.sources import landing
@@ -100,3 +100,12 @@ def test_rows_that_share_the_end_give_no_servo_reading_there(spark):
     for axis in (Axis(single=True), Axis(span=2.0)):
         out = dict(resample.servo_reference(rows, "t", {"yaw": 0.0}, [], 0.5, axis).select("k", "yaw").collect())
         assert out[1] == 2.5 and out[2] != out[2] and len(out) == 2
+
+
+def test_entry_selection_sends_no_catalogue_through_the_driver(spark, small):
+    entries = spark.createDataFrame([("a/b/c", "a", True), ("a/b/d", "a", False), ("a", "a", True), ("e/red", "e", True), ("e/red", "e", True), ("f/x", "f", True)], "id string, family string, usable boolean")
+    patterns = spark.createDataFrame([("a/b/d", 7), ("a/b/d", 5), ("a/b/", 3), ("a/", 4), ("gone", 1), ("e/red", 9), (None, 2)], "pattern string, position long")
+    out = sorted(map(tuple, catalog.select_entries(entries, patterns, ["e", "f"], "red").collect()))
+    assert out == [("a/b/c", 3), ("a/b/d", 5), ("e/red", 9)]
+    text = plan(entry.queries()["pj03_entry_selection"](spark, small))
+    assert "BroadcastExchange" not in text and "REPARTITION_BY_NUM" in text

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed
+from .blocks import deal
 
 # Acquisition kinds, image extensions, folders that hold images or videos, texture extensions.
 KINDS = ("file", "file_images_embedded", "tar_stream", "range_member", "range_package")
@@ -84,16 +85,24 @@ def entries(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def select_entries(catalog: DataFrame, patterns: DataFrame, families: Sequence[str] = (), match: str | None = None) -> DataFrame:
     """Chosen entries in first-seen order: exact ids and prefixes (usable only) by pattern position, then families.
 
-    Exact ids join on the id; a prefix joins on the path prefix of its own depth, so neither is a theta join."""
-    exact = catalog.join(patterns.select(F.col("pattern").alias("id"), "position"), "id")
+    A prefix joins on the path prefix of its own depth. Exact ids meet their entries in the last aggregation, which goes to as
+    many tasks as entries and patterns ask for: no list of ids is joined, broadcast or held by one task."""
     parts = F.split("id", "/")
     prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
-    below = catalog.where("usable").withColumn("pattern", prefixes).join(patterns, "pattern").drop("pattern")
-    late = F.lit(1 << 40)
-    whole = catalog.where(F.col("usable") & F.col("family").isin(*families) & (F.col("id").contains(match) if match else F.lit(True))).withColumn("position", late)
-    order = [c for c in exact.columns]
-    every = reduce(DataFrame.unionByName, [exact, below.select(*order), whole.select(*order)])
-    return every.groupBy("id").agg(F.min("position").alias("position"))
+    folders = patterns.where(F.col("pattern").endswith("/")).groupBy("pattern").agg(F.min("position").alias("position"))
+    late = F.when(F.col("usable") & F.col("family").isin(*families) & (F.col("id").contains(match) if match else F.lit(True)), F.lit(1 << 40))
+    # compressed files make the prefixes look small enough to broadcast; the table is built of the folders, prefixes stream by
+    below = catalog.where(F.col("usable") & (F.size(parts) > 1)).select("id", prefixes.alias("pattern")).join(folders.hint("shuffle_hash"), "pattern")
+
+    def rows(source: DataFrame, entry: bool, hit: Column, position: Column) -> DataFrame:
+        return source.select("id", F.lit(entry).alias("__entry"), hit.alias("__hit"), position.cast("long").alias("position"))
+
+    named = patterns.where("pattern IS NOT NULL").withColumn("id", F.col("pattern"))
+    every = (rows(catalog, True, late.isNotNull(), late).unionByName(rows(named, False, F.lit(True), F.col("position")))
+             .unionByName(rows(below, True, F.lit(True), F.col("position"))))
+    found = deal(every, ["id"], catalog.count() + patterns.count()).groupBy("id").agg(
+        F.bool_or("__entry").alias("__entry"), F.bool_or("__hit").alias("__hit"), F.min("position").alias("position"))
+    return found.where("__entry AND __hit").select("id", "position")
 
 
 def missing_patterns(catalog: DataFrame, patterns: DataFrame) -> DataFrame:
