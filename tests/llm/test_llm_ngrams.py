@@ -128,3 +128,25 @@ def test_odd_rows(spark):
             (None, "null only here"), (8, "word"), (9, "WORD"), (10, "É é"), (11, "é é"), (12, "a b c d"), (13, "a b c d e"), (13, None)]
     check(spark, [(*r, 1, "clash", None, "k", "f") for r in rows])
     assert join.ngram_join(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_katz_bucket_works_by_pair_not_by_occurrence():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from trajlake.llm import katz
+
+    n, words = 400_000, np.arange(1, 41, dtype=np.uint64)
+    which, docs = np.arange(40, dtype=np.uint32), np.tile(np.arange(1000, dtype=np.uint32), n // 1000)
+    part = katz._pack(words=words, which=which, histories=np.array([7], dtype=np.uint64), pairs=np.array([40], dtype=np.uint32), times=np.full(40, n // 40, dtype=np.uint32),
+                      docs=docs, held=np.zeros(1000, dtype=bool), ids=[(i, i) for i in range(1000)])
+    table = lambda data: pa.table({"data": pa.array([data], pa.binary())})
+    left, right = table(part), table(katz._pack(words=words, counts=np.full(40, n // 40)))
+    tracemalloc.start()
+    out = katz._count(katz.Unigrams({0: n, 7: 40, 8: n - 0.4}), np.array([katz.BEGIN], dtype=np.uint64), np.zeros(1))((pa.scalar(0),), left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert katz._unpack(out.column("data").to_pylist()[0])["tokens"].sum() == n
+    assert peak / n < 50
