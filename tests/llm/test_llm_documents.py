@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajlake.llm import katz, line_dedup, minhash_dedup, packing, piece_sampling, toxicity, training_order
+from trajlake.llm import graph, katz, line_dedup, minhash_dedup, packing, piece_sampling, toxicity, training_order
 from trajlake.llm.exact_dedup import exact_dedup
 from trajlake.llm.word_ids import tokenizer_path, word_ids
 
@@ -124,6 +124,27 @@ def test_lines_are_similar_in_every_window(spark):
     assert rows.limit(1).select(line_dedup.shingles(F.lit("short")).alias("n")).first().n == ["short"]
 
 
+def test_unlike_members_of_a_bucket_make_no_rows(spark):
+    """What cannot be similar is ruled out inside the join, and nothing similar is."""
+    rng = np.random.default_rng(5)
+    base = "".join(map(chr, rng.integers(97, 123, 260)))
+    kinds = [base] + [base[:at] + "".join(map(chr, rng.integers(97, 123, n))) + base[at + n:] for n in (1, 4, 9, 20, 60, 120) for at in (0, 70, 130)]
+    texts = spark.createDataFrame(list(enumerate(kinds)), "node long, line string")
+    sets = [{k[i:i + 9] for i in range(len(k) - 8)} for k in kinds]
+    profiles = line_dedup._profiles(texts, 9)
+    assert {r.node: r.size for r in profiles.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    buckets = texts.selectExpr("1 AS bucket", "node")
+    none = texts.limit(0).selectExpr("node AS id", "node AS component")
+    got = {(r.a, r.b): r.total for r in graph.residual_pairs(buckets, none, profiles, lambda x, y: line_dedup.may_link(x, y, 80)).collect()}
+    pairs = [(i, j) for j in range(len(kinds)) for i in range(j)]
+    alike = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert alike and alike <= set(got) and all(got[i, j] == len(sets[i]) + len(sets[j]) for i, j in got)
+    assert len(got) < len(alike) + (len(pairs) - len(alike)) // 5
+    cut = line_dedup.windows(spark.createDataFrame([(1, 1, base + "𝔘漢 " + base), (2, 2, "short")], "k1 long, k2 long, line string")).collect()
+    text = base + "𝔘漢 " + base
+    assert sorted(r.s for r in cut) == sorted([*(text[i:i + 9] for i in range(len(text) - 8)), "short"])
+
+
 def test_line_dedup_in_every_window(spark, docs, texts, odd):
     """The documents against brute force over every nine-character window of a line."""
     found = [(i, at, n) for i, t in sorted(texts) for n, at in lines_of(t)]
