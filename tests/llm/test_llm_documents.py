@@ -207,6 +207,19 @@ def test_katz_scores(docs, texts, odd):
     assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got) and katz.katz_scores(odd.limit(0)).count() == 0
 
 
+def test_katz_tells_a_block_all_in_one_row(docs, monkeypatch):
+    """A row per bucket and block of documents, not per bucket and document; blocks of one task and of several buckets meet again."""
+    schemas, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, schema, *a, **b: (schemas.append(schema), plain(self, work, schema, *a, **b))[1])
+    whole = {r.doc_id: r for r in katz.katz_scores(docs, bucket_bytes=10**9).collect()}
+    assert schemas[-1] == "block long, data binary"
+    split = katz.katz_scores(docs.repartition(3), bucket_bytes=20_000).collect()
+    assert len(split) == len(whole)
+    for r in split:
+        assert (r.held_out, r.n_tokens, r.n_known) == whole[r.doc_id][1:4]
+        assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-9) and r.base_score == pytest.approx(whole[r.doc_id].base_score, rel=1e-9)
+
+
 def test_packing(docs, texts, odd):
     tokenizer = word_ids(tokenizer_path()).tokenizer
     for frame, rows, most in ((docs, texts, 2048), (odd, [(x[0], x[1]) for x in ODD], 64)):
