@@ -150,3 +150,13 @@ def test_katz_bucket_works_by_pair_not_by_occurrence():
     tracemalloc.stop()
     assert katz._unpack(out.column("data").to_pylist()[0])["tokens"].sum() == n
     assert peak / n < 50
+
+
+def test_only_nodes_that_share_a_bucket_move_their_texts(spark, monkeypatch):
+    kept, plain = {}, join.staged
+    monkeypatch.setattr(join, "staged", lambda df, tag: kept.setdefault(tag, plain(df, tag)) if tag == "kinds" else plain(df, tag))
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base + " more"), (3, " ".join(f"x{i}" for i in range(60))), (4, " ".join(f"y{i}" for i in range(60)))]
+    got = {r.doc_id: r.component_id for r in join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert sorted(join._text(bytes(r.text)) for r in kept["kinds"].collect()) == [base, base + " more"]

@@ -176,6 +176,16 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
+def _packed(text: str | None) -> bytes:
+    import zstandard
+    return zstandard.compress((text or "").encode("utf-8", "surrogatepass"), 3)
+
+
+def _text(packed: bytes) -> str:
+    import zstandard
+    return zstandard.decompress(packed).decode("utf-8", "surrogatepass")
+
+
 _GRAMS: dict[int, Grams] = {}
 
 
@@ -192,19 +202,20 @@ def _read(size: int, similar: int):
 
         tool, base, row, seen = _grams(size), TaskContext.get().partitionId() << 40, 0, set()
         for batch in batches:
-            counts, keys, first, sketches = [], [], [], []
+            counts, keys, first, sketches, packed = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 features = tool.features(text)
                 counts.append(len(features))
                 keys.append(hashlib.blake2b(features.tobytes(), digest_size=16).digest() if len(features) else None)
                 first.append(len(features) > 0 and keys[-1] not in seen)
                 sketches.append(sketch(features, similar) if first[-1] else None)
+                packed.append(_packed(text) if first[-1] else None)
                 seen.add(keys[-1])
             if len(seen) > SEEN:
                 seen.clear()
             rows = np.arange(base + row, base + row + len(counts))
             row += len(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.bool_()), pa.array(sketches, pa.binary()), batch.column("text")],
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.bool_()), pa.array(sketches, pa.binary()), pa.array(packed, pa.binary())],
                                              names=["row", "id", "n_shingles", "key", "first", "sketch", "text"])
     return read
 
@@ -218,7 +229,7 @@ def _sign(size: int, similar: int):
         for batch in batches:
             found, owners, held = [], [], 0
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                found.append(signer.of(tool.features(text)))
+                found.append(signer.of(tool.features(_text(text))))
                 owners.append(np.full(len(found[-1]), node))
                 held += len(found[-1])
                 if held > 500_000:
@@ -246,7 +257,7 @@ def _sets(size: int):
 
         tool = _grams(size)
         for batch in batches:
-            found = pa.array([tool.features(t).astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            found = pa.array([tool.features(_text(t)).astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), found], names=["node", "features"])
     return sets
 
@@ -382,17 +393,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    read = staged(rows.mapInArrow(_read(size, similar), f"row long, id {kind}, n_shingles long, key binary, first boolean, sketch binary, text string"), "read")
+    read = staged(rows.mapInArrow(_read(size, similar), f"row long, id {kind}, n_shingles long, key binary, first boolean, sketch binary, text binary"), "read")
     firsts = read.filter("first").select("key", F.col("row").alias("node"))
     classes = staged(firsts.groupBy("key").agg(F.min("node").alias("class")), "classes")
     same = firsts.join(classes, "key").filter("node <> class").select(F.col("class").alias("a"), F.col("node").alias("b"))
     kinds = read.filter("first").select(F.col("row").alias("node"), "n_shingles", "sketch", "text")
-    nodes = _Nodes(kinds, size, similar)
     signed = kinds.select("node", "text").mapInArrow(_sign(size, similar), "bucket long, node long")
     # Buckets of the same nodes are one: the bucket's name becomes a hash of its members.
     bucket = Window.partitionBy("bucket")
     shared = signed.select("node", F.count(F.lit(1)).over(bucket).alias("n"), F.bit_xor(F.xxhash64("node")).over(bucket).alias("bucket"))
     buckets = staged(shared.filter("n > 1").select("bucket", "node").distinct(), "buckets")
+    # Only nodes that share a bucket are ever compared: their texts are moved once, and later joins read no others.
+    nodes = _Nodes(staged(kinds.join(buckets.select("node").distinct(), "node"), "kinds"), size, similar)
     some = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(F.xxhash64("node").alias("x"), "node")).alias("third"))
     leaders = buckets.join(some, "bucket").select("node", F.explode(F.array("low", "high", "third.node")).alias("leader")).filter("node <> leader")
     tried = staged(leaders.select(F.greatest("node", "leader").alias("b"), F.least("node", "leader").alias("a")).distinct(), "pairs")
