@@ -1,10 +1,11 @@
 """What keeps a task's memory and the passes over a table from growing with it."""
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from trajlake.operators import catalog, labels, resample, scene
+from trajlake.operators import catalog, folds, labels, resample, scene
 from trajlake.operators.blocks import Axis, number_rows, quantile, running, shift, spread
 from trajlake.operators.sequence import mark_runs
 from trajlake.sources import landing
@@ -109,3 +110,32 @@ def test_entry_selection_sends_no_catalogue_through_the_driver(spark, small):
     assert out == [("a/b/c", 3), ("a/b/d", 5), ("e/red", 9)]
     text = plan(entry.queries()["pj03_entry_selection"](spark, small))
     assert "BroadcastExchange" not in text and "REPARTITION_BY_NUM" in text
+
+
+@pytest.fixture
+def late_broadcasts(spark):
+    """Large tables, whose small side is known to be small only when it has been made."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_streams_of_a_rate_limited_path_ask_for_whole_groups(spark):
+    rows = spark.sql("SELECT id % 3 AS episode, id DIV 3 AS row, 1.0D AS x, 0.5D AS s FROM range(30)")
+    lines = plan(folds.limited(rows, Axis(), "x", "s", "y")).splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if "MapInArrow" in line or "MapInPandas" in line]
+    assert len(below) == 3 and all("Window" in line for line in below)
+
+
+def test_stages_of_scattered_events(spark, late_broadcasts):
+    rows = spark.range(3000).selectExpr("id % 30 AS episode", "id DIV 30 AS row", "id DIV 30 / 4.0D AS t", "abs(hash(id DIV 30)) % 50 / 50.0D AS activity")
+    events = rows.where("hash(row) % 3 = 0").selectExpr("episode", "IF(hash(row, 1) % 2 = 0, 'a', 'b') AS part", "row AS start", "row + 1 AS stop").repartition(6, "start")
+    cuts = {}
+    for r in folds.stage_cuts(events, rows, "t", Axis(), folds.Thresholds(lead=1.0, tail=0.5)).collect():
+        cuts.setdefault(r.episode, set()).add(r.start)
+    alone = {r.start for r in folds.stage_cuts(events.where("episode = 7").coalesce(1), rows.where("episode = 7"), "t", Axis(), folds.Thresholds(lead=1.0, tail=0.5)).collect()}
+    assert len(alone) > 10 and cuts == {e: alone for e in range(30)}
