@@ -207,6 +207,47 @@ def test_katz_scores(docs, texts, odd):
     assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got) and katz.katz_scores(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket_bytes", [10**9, 40_000])
+def test_katz_scores_of_triples(docs, texts, odd, bucket_bytes):
+    train = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 7 != 2}
+    words = {i: (t or "").encode().lower().split() + [b"</s>"] for i, t in texts}
+    one, two, three = Counter(), Counter(), Counter()
+    for i in train:
+        ws = [b"<s>", *words[i]]
+        one.update(words[i])
+        two.update(zip(ws, ws[1:]))
+        three.update(zip(ws, ws[1:], ws[2:]))
+    d1, d2, d3 = (katz.discounts([0.0] + [float(sum(c == r for c in x.values())) for r in range(1, 7)]) for x in (one, two, three))
+    cut = lambda c, d: c - katz.REST if c > 5 else d[c] * c
+    n, size, after = sum(one.values()), Counter(), defaultdict(list)
+    for g, c in [*two.items(), *three.items()]:
+        size[g[:-1]] += c
+        after[g[:-1]].append((g[-1], c))
+    unknown, back = 1 - sum(cut(c, d1) for c in one.values()) / n, {}
+
+    def p(*g):
+        c, d = ((one, d1), (two, d2), (three, d3))[len(g) - 1]
+        seen = c.get(g if len(g) > 1 else g[0], 0)
+        if len(g) == 1:
+            return cut(seen, d) / n if seen else unknown
+        if seen:
+            return cut(seen, d) / size[g[:-1]]
+        return (weight(g[:-1], d) if g[:-1] in after else 1.0) * p(*g[1:])
+
+    def weight(h, d):
+        if h not in back:
+            back[h] = (1 - sum(cut(c, d) for _, c in after[h]) / size[h]) / (1 - sum(p(*h[1:], w) for w, _ in after[h]))
+        return back[h]
+
+    for r in katz.katz_scores(docs.repartition(3), bucket_bytes=bucket_bytes, order=3).collect():
+        ws = [b"<s>", *words[r.doc_id]]
+        assert r.score == pytest.approx(sum(math.log10(p(*ws[max(0, k - 2):k + 1])) for k in range(1, len(ws))), rel=1e-9)
+    for h in [h for h in after if len(h) == 2][:5]:
+        assert sum(p(*h, w) for w in one) + weight(h, d3) * (weight(h[1:], d2) if h[1:] in after else 1.0) * unknown == pytest.approx(1.0)
+    got = katz.katz_scores(odd, order=3).collect()
+    assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got) and katz.katz_scores(odd.limit(0), order=3).count() == 0
+
+
 def test_katz_tells_a_block_all_in_one_row(docs, monkeypatch):
     """A row per bucket and block of documents, not per bucket and document; blocks of one task and of several buckets meet again."""
     schemas, plain = [], type(docs).mapInArrow
