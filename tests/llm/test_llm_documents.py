@@ -145,6 +145,17 @@ def test_unlike_members_of_a_bucket_make_no_rows(spark):
     assert sorted(r.s for r in cut) == sorted([*(text[i:i + 9] for i in range(len(text) - 8)), "short"])
 
 
+def test_strips_hold_the_hashes_of_the_windows(spark):
+    base = "".join(chr(97 + i * i % 26) + str(i % 7) for i in range(60))
+    rows = [(1, 1, base + "𝔘漢 " + base), (2, 2, "short")] + [(n, 3, base[:n]) for n in (9, 10, 15, 16, 17, 24, 63, 64, 65, 72, 73)]
+    lines = spark.createDataFrame(rows, "k1 long, k2 long, line string")
+    of = lambda df: sorted((r.k1, r.k2, sorted(set(r.xs))) for r in df.collect())
+    xs = F.array(*(f"x{j}" for j in range(1, line_dedup.STRIP + 1)))
+    got = line_dedup.strips(lines).groupBy("k1", "k2").agg(F.flatten(F.collect_list(xs)).alias("xs"), F.count(F.lit(1)).alias("n"))
+    assert of(got) == of(line_dedup.windows(lines).groupBy("k1", "k2").agg(F.collect_list(F.hash("s")).alias("xs")))
+    assert {(r.k1, r.n) for r in got.collect()} >= {(2, 1), (9, 1), (16, 1), (17, 2), (24, 2)}
+
+
 def test_line_dedup_in_every_window(spark, docs, texts, odd):
     """The documents against brute force over every nine-character window of a line."""
     found = [(i, at, n) for i, t in sorted(texts) for n, at in lines_of(t)]
